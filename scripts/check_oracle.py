@@ -76,7 +76,7 @@ def main() -> int:
             print(f"FAIL {name}: {len(mine)} / {len(theirs)} rows\n  spark {only_m}\n  sql   {only_t}\n  {kinds(mine)} {kinds(theirs)}")
             bad += 1
         else:
-            print(f"ok   {name}: {len(mine)} rows {spent:.1f}s")
+            print(f"ok   {name}: {len(mine)} rows {spent:.1f}s, sql {time.time() - started - spent:.1f}s")
     print("failed:", bad)
     return bad
 
