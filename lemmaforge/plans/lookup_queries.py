@@ -524,18 +524,21 @@ def raw_semantic_pairing(spark, sf_dir):
 
 @query(
     "j11_close_ranges",
-    """WITH e AS (SELECT l_orderkey AS dict_id, l_linenumber AS source_ord,
-  floor((sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)) / 20)::BIGINT AS start_off,
+    """WITH e AS (SELECT l_orderkey AS dict_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS source_ord,
+  floor((sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)) / 20)::BIGINT AS start_off,
   CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE -1 END AS end_off FROM lineitem)
 SELECT dict_id, source_ord::BIGINT AS source_ord, start_off, CASE WHEN end_off <> 0 THEN end_off ELSE coalesce(
   (SELECT min(n.start_off) FROM e n WHERE n.dict_id = e.dict_id AND n.start_off > e.start_off), 0) END::BIGINT AS end_off FROM e""",
 )
 def close_ranges(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    upto = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"
+    )
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
     entries = lines.select(
         F.col("l_orderkey").alias("dict_id"),
-        F.col("l_linenumber").cast("bigint").alias("source_ord"),
+        F.row_number().over(line).cast("bigint").alias("source_ord"),
         F.floor(F.sum("l_quantity").over(upto) / 20).cast("bigint").alias("start_off"),
         F.when(F.col("l_linenumber") % 2 == 0, 0).otherwise(-1).cast("bigint").alias("end_off"),
     )
