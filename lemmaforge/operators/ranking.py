@@ -17,16 +17,18 @@ def running_position(
     name: str = "position",
     sums: dict[str, Column] | None = None,
     chunk: int = CHUNK_ROWS,
+    stretch: Column | None = None,
 ) -> DataFrame:
     """1-based position of each row in its group, in order of a unique number.
 
     A group is cut into stretches of `chunk` order values. Row counts per
     stretch are added up first (a small table), so that the row window works
     on one stretch at a time and never on a whole group. `sums` adds running
-    sums over the preceding rows of the group.
+    sums over the preceding rows of the group. `stretch` names the stretch of
+    a row where the order is not a plain number; it must rise with the order.
     """
     sums = sums or {}
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)) if stretch is None else stretch)
     for label, expr in sums.items():
         cut = cut.withColumn(f"_v_{label}", expr.cast("bigint"))
     part = [*keys, "_chunk"]
@@ -57,6 +59,26 @@ def running_position(
     return out.drop("_chunk", "_n0", *extra)
 
 
+def with_previous(
+    df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], stretch: Column, name: str = "prev"
+) -> DataFrame:
+    """Values of the row before, as a struct; stretch by stretch.
+
+    The first row of a stretch takes the last row of the stretch before, from
+    a table of one row per stretch.
+    """
+    cut = df.withColumn("_chunk", stretch)
+    part = [*keys, "_chunk"]
+    lasts = cut.groupBy(*part).agg(F.max_by(F.struct(*values), order).alias("_last"))
+    carried = lasts.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_last")
+    inside = Window.partitionBy(*part).orderBy(order)
+    return (
+        cut.join(carried, part)
+        .withColumn(name, F.coalesce(F.lag(F.struct(*values)).over(inside), F.col("_carry")))
+        .drop("_chunk", "_carry")
+    )
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """Q4: first k rows per group. Each task keeps k rows per group before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
