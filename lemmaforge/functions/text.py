@@ -122,10 +122,11 @@ def truncated(value: Column, limit: int, mark: str = "…") -> Column:
     return F.when(F.length(value) > limit, F.concat(F.left(value, F.lit(limit)), F.lit(mark))).otherwise(value)
 
 
-def slug(value: Column | str, limit: int = 60) -> Column:
+def slug(value: Column | str, limit: int = 32) -> Column:
     """Stable file-name form of a title."""
     text = F.regexp_replace(lower_simple(value), r"[^\p{L}\p{Nd}]+", "-")
-    return F.left(F.regexp_replace(text, "^-+|-+$", ""), F.lit(limit))
+    cut = F.regexp_replace(F.left(F.regexp_replace(text, "^-+", ""), F.lit(limit)), "-+$", "")
+    return F.when(cut == "", "entry").otherwise(cut)
 
 
 def headword_identity(value: Column | str) -> Column:
