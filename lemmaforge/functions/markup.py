@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,7 +76,7 @@ class NodeReader(HTMLParser):
             "classes": attrs.get("class", "").split(),
             "attrs": attrs,
             "text": text,
-            "anc": [{k: a[k] for k in ("pre", "tag", "id", "classes", "attrs")} for a in self.open],
+            "anc": [a["pre"] for a in self.open],
         }
         self.nodes.append(node)
         return node
@@ -202,6 +203,46 @@ def read_nodes(html: str | None) -> list[dict]:
     return reader.finish()
 
 
-@F.pandas_udf(T.ArrayType(NODE))
-def node_structs(html: pd.Series) -> pd.Series:
-    return html.map(read_nodes)
+def offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(itertools.accumulate(sizes, initial=0), pa.int32())
+
+
+def lists(values: list[list[str]]) -> pa.Array:
+    return pa.ListArray.from_arrays(offsets([len(v) for v in values]), pa.array(itertools.chain(*values), pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(NODE))
+def node_structs(html: pa.Array) -> pa.Array:
+    """Nodes of a batch, column by column; ancestors are taken from the nodes by place."""
+    records = [read_nodes(text.as_py()) for text in html]
+    nodes = [node for record in records for node in record]
+    column = lambda name, kind: pa.array([n[name] for n in nodes], kind)
+    attrs = [n["attrs"] for n in nodes]
+    named = {
+        "pre": column("pre", pa.int32()),
+        "tag": column("tag", pa.string()),
+        "id": column("id", pa.string()),
+        "classes": lists([n["classes"] for n in nodes]),
+        "attrs": pa.MapArray.from_arrays(
+            offsets([len(a) for a in attrs]),
+            pa.array([k for a in attrs for k in a], pa.string()),
+            pa.array([v for a in attrs for v in a.values()], pa.string()),
+        ),
+    }
+    places, base = [], 0
+    for record in records:
+        places.extend(base + up for node in record for up in node["anc"])
+        base += len(record)
+    uppers = pa.StructArray.from_arrays(list(named.values()), list(named)).take(pa.array(places, pa.int64()))
+    columns = {
+        "pre": named["pre"],
+        "end": column("end", pa.int32()),
+        "depth": column("depth", pa.int32()),
+        "parent": column("parent", pa.int32()),
+        "sib": column("sib", pa.int32()),
+        **{k: v for k, v in named.items() if k != "pre"},
+        "text": column("text", pa.string()),
+        "anc": pa.ListArray.from_arrays(offsets([len(n["anc"]) for n in nodes]), uppers),
+    }
+    structs = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(offsets([len(r) for r in records]), structs)

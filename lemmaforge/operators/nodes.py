@@ -1,9 +1,9 @@
 """Markup as a node table: selectors, visible text, scopes, blocks, tables.
 
-Documents are placed by record before they are read. Neither the reading nor
-the explode moves rows, so every window and aggregate over `rec_id` works
-where the nodes already are: the raw text is shuffled once (not at all when the
-table is bucketed by `rec_id`), nodes never.
+A document is read to an array of nodes and placed by record as one row; the
+rows are opened after that. Every window and aggregate over `rec_id` then works
+where the nodes already are: one shuffle serves all steps, and none is needed
+where a step only counts nodes.
 """
 
 from __future__ import annotations
@@ -27,12 +27,17 @@ BLOCK_TAGS = [
 SILENT_TAGS = ["script", "style", "head"]
 
 
-def html_nodes(records: DataFrame, content: str = "content", placed: bool = False) -> DataFrame:
-    """One row per element or text. `records` has rec_id and the content."""
-    where = records if placed else records.repartition("rec_id")
-    return where.withColumn("_nodes", node_structs(F.col(content))).drop(content).select(
-        *[c for c in records.columns if c != content], F.inline("_nodes")
-    )
+def html_nodes(records: DataFrame, content: str = "content", placed: bool = True) -> DataFrame:
+    """One row per element or text. `records` has rec_id and the content.
+
+    With `placed`, the nodes of a record stand in one partition, known to the
+    planner. The outer form of the explode keeps the planner from adding a
+    filter that would read every document twice; there is always a node.
+    """
+    read = records.withColumn("_nodes", node_structs(F.col(content))).drop(content)
+    if placed:
+        read = read.repartition("rec_id")
+    return read.select(*[c for c in records.columns if c != content], F.inline_outer("_nodes"))
 
 
 def in_order(*more: str) -> Window:

@@ -26,8 +26,8 @@ def page_records(spark, sf_dir):
     )
 
 
-def page_nodes(spark, sf_dir):
-    return N.html_nodes(page_records(spark, sf_dir))
+def page_nodes(spark, sf_dir, placed=True):
+    return N.html_nodes(page_records(spark, sf_dir), placed=placed)
 
 
 def keyed_pages(spark, sf_dir):
@@ -63,7 +63,7 @@ t AS (SELECT dict_id, page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)',
 SELECT dict_id, tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM t GROUP BY ALL""",
 )
 def node_tags(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir).filter(F.col("tag") != TEXT)
+    nodes = page_nodes(spark, sf_dir, False).filter(F.col("tag") != TEXT)
     per_page = nodes.groupBy("dict_id", "rec_id", "tag").agg(F.count(F.lit(1)).alias("n"))
     return per_page.groupBy("dict_id", "tag").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages"))
 
@@ -84,7 +84,7 @@ def hidden_elements(spark, sf_dir):
         F.lit("<footer>"),
         F.lit('<footer style="visibility:hidden">'),
     )
-    nodes = N.html_nodes(page_records(spark, sf_dir).withColumn("content", styled))
+    nodes = N.html_nodes(page_records(spark, sf_dir).withColumn("content", styled), placed=False)
     return nodes.groupBy("rec_id").agg(F.count_if((F.col("tag") != TEXT) & N.hides(F.col("attrs"))).alias("hidden"))
 
 
@@ -151,7 +151,7 @@ def link_only(spark, sf_dir):
     "SELECT page_id AS rec_id, len(regexp_extract_all(html, 'class=\"ad\"'))::BIGINT AS tokens, len(regexp_extract_all(html, 'class=\"[^\"]*a[^\"]*\"'))::BIGINT AS hints FROM pages",
 )
 def class_tokens(spark, sf_dir):
-    return page_nodes(spark, sf_dir).groupBy("rec_id").agg(
+    return page_nodes(spark, sf_dir, False).groupBy("rec_id").agg(
         F.count_if(N.class_token(["ad", "x"])).alias("tokens"), F.count_if(N.class_hint(["a"])).alias("hints")
     )
 
@@ -318,7 +318,7 @@ SELECT dict_id, kind, name, n, row_number() OVER (PARTITION BY dict_id, kind ORD
 QUALIFY rank <= CASE kind WHEN 'tag' THEN 15 WHEN 'class' THEN 25 WHEN 'attribute' THEN 12 ELSE 10 END""",
 )
 def markup_summary(spark, sf_dir):
-    return D.markup_summary(page_nodes(spark, sf_dir))
+    return D.markup_summary(page_nodes(spark, sf_dir, False))
 
 
 @query(
@@ -326,7 +326,7 @@ def markup_summary(spark, sf_dir):
     f"SELECT {HOST} AS dict_id, list_sort(list(strlen(html)))[count(*) // 2 + 1] AS median_bytes FROM pages GROUP BY 1",
 )
 def median_bytes(spark, sf_dir):
-    return D.depth_and_size(page_nodes(spark, sf_dir), page_records(spark, sf_dir)).select("dict_id", "median_bytes")
+    return D.depth_and_size(page_nodes(spark, sf_dir, False), page_records(spark, sf_dir)).select("dict_id", "median_bytes")
 
 
 TOKEN_COUNTS = r"""tok AS (SELECT source AS dict_id, token AS name, count(*) AS n FROM (
@@ -381,7 +381,7 @@ def family_report(spark, sf_dir):
 
 def _page_entries(spark, sf_dir):
     """Counts per page: link items as senses where plenty, words in bold as examples."""
-    nodes = page_nodes(spark, sf_dir)
+    nodes = page_nodes(spark, sf_dir, False)
     flag = lambda sel: F.count_if(N.selector(sel))
     counted = nodes.groupBy("dict_id", "rec_id").agg(
         flag("article h1").alias("n_headwords"),
@@ -460,7 +460,7 @@ UNION ALL SELECT dict_id, page_id, 'bold', 10 FROM b WHERE contains(h, '<b>')
 UNION ALL SELECT dict_id, page_id, 'broken', 15 FROM b WHERE contains(h, '<b>') AND contains(h, '<br>') AND contains(h, 'class="ad"')""",
 )
 def profile_scores(spark, sf_dir):
-    return D.profile_scores(page_nodes(spark, sf_dir), PAGE_PROFILES)
+    return D.profile_scores(page_nodes(spark, sf_dir, False), PAGE_PROFILES)
 
 
 @query(
@@ -477,7 +477,7 @@ SELECT dict_id, strength, CASE WHEN strength = 'strong' THEN profile ELSE 'gener
 )
 def profile_vote(spark, sf_dir):
     sizes = page_records(spark, sf_dir).groupBy("dict_id").agg(F.count(F.lit(1)).alias("n"))
-    return D.profile_vote(D.profile_scores(page_nodes(spark, sf_dir), PAGE_PROFILES), sizes)
+    return D.profile_vote(D.profile_scores(page_nodes(spark, sf_dir, False), PAGE_PROFILES), sizes)
 
 
 @query(
