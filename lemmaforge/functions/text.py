@@ -28,10 +28,13 @@ def find_all(value: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(value, F.lit(pattern), F.lit(group))
 
 
+# no CJK letter stands below this code point; a plain range is far cheaper to test than script classes
+BEYOND = r"[\x{1100}-\x{10FFFF}]"
+
+
 def tokens(value: Column | str) -> Column:
     """V1: words of letters and digits; CJK runs as two-letter pieces."""
     text = lower_simple(value)
-    words = find_all(text, WORD_RUN)
     runs = find_all(text, f"[{CJK}]+")
     pieces = F.flatten(
         F.transform(
@@ -41,7 +44,9 @@ def tokens(value: Column | str) -> Column:
             ),
         )
     )
-    return F.when(text.rlike(f"[{CJK}]"), F.concat(words, pieces)).otherwise(words)
+    return F.when(text.rlike(BEYOND), F.concat(find_all(text, WORD_RUN), pieces)).otherwise(
+        find_all(text, r"[\p{L}\p{Nd}]+")
+    )
 
 
 def count_class(value: Column | str, letters: str) -> Column:

@@ -149,7 +149,7 @@ def template_families(vocab: DataFrame, overlap: float = FAMILY_OVERLAP, least:
     filter); pairs are made from triples of those, never from single names.
     Points are then linked by passing on the least label until none changes.
     """
-    enough = vocab.filter(F.size("vocabulary") >= least)
+    enough = cut_lineage(vocab.filter(F.size("vocabulary") >= least).select("dict_id", "vocabulary"))
     points = enough.groupBy("vocabulary").agg(F.min("dict_id").alias("point"))
     points = cut_lineage(points)
     names = points.select("point", F.explode("vocabulary").alias("name"))

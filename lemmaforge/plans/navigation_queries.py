@@ -96,7 +96,7 @@ def incremental_validation(spark, sf_dir):
     base = f"{work_folder(spark)}/n05-{uuid.uuid4().hex}"
 
     def validate(batch):
-        fields = with_fields(batch)
+        fields = with_fields(M.placed_by_record(batch, "doc_id"))
         records = fields.select(
             F.col("doc_id").alias("rec_id"),
             F.col("source").alias("dict_id"),

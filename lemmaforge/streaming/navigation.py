@@ -137,7 +137,12 @@ STACK = "user_id long, ts timestamp, step_id long, length int, previous string"
 
 
 def stack_batch(steps: DataFrame, idle: int = IDLE_SECONDS) -> DataFrame:
-    """N3 on stored steps (with `back`): one group per idle-parted session, never per user."""
+    """N3 on stored steps (with `back`).
+
+    Steps are placed by user and idle-parted session and read in order, batch
+    by batch, with the stack of the session at hand: no group is ever held as
+    a whole, and the sessions of a busy user spread over the tasks.
+    """
     placed = steps.withColumn("_at", F.struct("ts", "step_id"))
     before = ranking.with_previous(placed, ["user_id"], "_at", ["ts"], stretch_of())
     fresh = F.col("prev").isNull() | (seconds("ts") - seconds(F.col("prev.ts")) > idle)
@@ -146,18 +151,25 @@ def stack_batch(steps: DataFrame, idle: int = IDLE_SECONDS) -> DataFrame:
         ["user_id"], "_at", name="_n", sums={"_s": F.col("fresh")}, stretch=stretch_of(),
     ).withColumn("session", F.col("_s") + F.col("fresh"))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        path: list[str] = []
-        rows = []
-        for r in group.sort_values(["ts", "step_id"]).itertuples():
-            path = take_step(path, r.from_page, r.to_page, bool(r.back))
-            rows.append((r.user_id, r.ts, r.step_id, len(path), path[-2] if len(path) > 1 else None))
-        return pd.DataFrame(rows, columns=["user_id", "ts", "step_id", "length", "previous"])
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, path = None, []
+        for batch in batches:
+            lengths, previous = [], []
+            for user, session, source, target, back in zip(
+                batch.user_id, batch.session, batch.from_page, batch.to_page, batch.back
+            ):
+                if (user, session) != at:
+                    at, path = (user, session), []
+                path = take_step(path, source, target, bool(back))
+                lengths.append(len(path))
+                previous.append(path[-2] if len(path) > 1 else None)
+            yield batch[["user_id", "ts", "step_id"]].assign(length=lengths, previous=previous)
 
     return (
         sessions.select("user_id", "session", "ts", "step_id", "from_page", "to_page", "back")
-        .groupBy("user_id", "session")
-        .applyInPandas(walk, STACK)
+        .repartition("user_id", "session")
+        .sortWithinPartitions("user_id", "session", "ts", "step_id")
+        .mapInPandas(walk, STACK)
     )
 
 
