@@ -49,10 +49,17 @@ def tokens(value: Column | str) -> Column:
     )
 
 
-def count_class(value: Column | str, letters: str) -> Column:
-    """Number of characters of a regular-expression class."""
+def count_class(value: Column | str, letters: str, above: str | None = None) -> Column:
+    """Number of characters of a regular-expression class.
+
+    `above` is a code point below which the class has none: texts without any
+    character from there on are not searched.
+    """
     text = col(value)
-    return (F.length(text) - F.length(F.regexp_replace(text, f"[{letters}]", ""))).cast("bigint")
+    count = (F.length(text) - F.length(F.regexp_replace(text, f"[{letters}]+", ""))).cast("bigint")
+    if above is None:
+        return count
+    return F.when(text.rlike(rf"[\x{{{above}}}-\x{{10FFFF}}]"), count).otherwise(F.lit(0).cast("bigint"))
 
 
 # Scripts told apart, in tie-break order.
@@ -63,15 +70,15 @@ def script_tally(value: Column | str) -> dict[str, Column]:
     """Letters per script; `other` is what the named scripts leave over."""
     text = col(value)
     tally = {
-        "han": count_class(text, r"\p{IsHan}"),
-        "kana": count_class(text, r"\p{IsHiragana}\p{IsKatakana}"),
-        "hangul": count_class(text, r"\p{IsHangul}"),
+        "han": count_class(text, r"\p{IsHan}", "1100"),
+        "kana": count_class(text, r"\p{IsHiragana}\p{IsKatakana}", "1100"),
+        "hangul": count_class(text, r"\p{IsHangul}", "1100"),
         "latin": count_class(text, r"\p{L}&&\p{IsLatin}"),
-        "cyrillic": count_class(text, r"\p{IsCyrillic}"),
-        "arabic": count_class(text, r"\p{IsArabic}"),
+        "cyrillic": count_class(text, r"\p{IsCyrillic}", "0370"),
+        "arabic": count_class(text, r"\p{IsArabic}", "0370"),
     }
     tally["other"] = count_class(
-        text, rf"\p{{L}}&&[^{CJK}\p{{IsLatin}}\p{{IsCyrillic}}\p{{IsArabic}}]"
+        text, rf"\p{{L}}&&[^{CJK}\p{{IsLatin}}\p{{IsCyrillic}}\p{{IsArabic}}]", "0080"
     )
     return tally
 
@@ -95,7 +102,7 @@ def present_of(tally: dict[str, Column]) -> Column:
 def dominant_script(value: Column | str, purity: float = 0.8) -> Column:
     """Latin, cjk or mixed by letter share; empty without letters."""
     text = col(value)
-    cjk = count_class(text, CJK)
+    cjk = count_class(text, CJK, "1100")
     latin = count_class(text, rf"\p{{L}}&&[^{CJK}]")
     total = latin + cjk
     return (
@@ -108,7 +115,7 @@ def dominant_script(value: Column | str, purity: float = 0.8) -> Column:
 
 def mixes_scripts(value: Column | str) -> Column:
     """At least four plain Latin letters beside at least two CJK characters."""
-    return (count_class(value, "A-Za-z") >= 4) & (count_class(value, CJK) >= 2)
+    return (count_class(value, "A-Za-z") >= 4) & (count_class(value, CJK, "1100") >= 2)
 
 
 def clause_counts(value: Column | str) -> tuple[Column, Column]:

@@ -13,13 +13,13 @@ from lemmaforge.operators import nodes as N
 from lemmaforge.operators import ranking
 from lemmaforge.operators import structure as S
 from lemmaforge.plans.bindings import page_refs, page_resources, PAGE_REFS
-from lemmaforge.plans.registry import query, table
+from lemmaforge.plans.registry import query, spread, table
 
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 
 
 def page_records(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         F.col("page_id").alias("rec_id"),
         F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("dict_id"),
         F.col("html").alias("content"),
@@ -336,7 +336,7 @@ voc AS (SELECT dict_id, list_sort(list(name)) AS vocabulary FROM (
 
 
 def _vocabularies(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     counts = docs.select(F.col("source").alias("dict_id"), F.explode(T.tokens("text")).alias("name"))
     return D.vocabularies(ranking.counted(counts, ["dict_id"], "name"))
 
