@@ -137,3 +137,19 @@ def test_loudness_gain(spark):
     df = spark.createDataFrame(cases, "l double, p double, v int, want double")
     for r in df.select("want", (20 * F.log10(C.loudness_gain("l", "p", F.col("v")))).alias("db")).collect():
         assert abs(r.db - r.want) < 0.01
+
+
+def test_pronunciation_evidence(spark):
+    from lemmaforge.operators import nodes as N
+
+    data = [
+        (1, "d", '<p><i>/tɑːn/</i></p><p><a class="uk" href="sound://tarn.mp3">x</a></p>'),
+        (2, "d", '<p><a href="sound://none.mp3">x</a></p>'),
+        (3, "e", "<p>plain</p>"),
+    ]
+    nodes = N.html_nodes(spark.createDataFrame(data, "rec_id long, dict_id string, content string"))
+    stored = spark.createDataFrame([("d", "tarn.mp3")], "dict_id string, res_key string")
+    got = D.pronunciation_evidence(nodes, stored)
+    assert rows(got, "dict_id", "ipa_samples", "audio_samples", "audio_resolved", "regions") == [
+        ("d", 1, 2, 1, "uk,unmarked"), ("e", 0, 0, 0, ""),
+    ]
