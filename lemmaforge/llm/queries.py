@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmaforge.llm import decontaminate
+from lemmaforge.llm import bpe, decontaminate
 from lemmaforge.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -24,3 +24,15 @@ def query(name: str, sql: str | None = None):
 @query("op1_decontamination")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary of the public tokenizers package, found on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_bpe_round_trip")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_report(table(spark, sf_dir, "documents"), tokenizer_path())
