@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lemmaforge.llm import bpe, decontaminate
+from lemmaforge.llm import bpe, decontaminate, templates
 from lemmaforge.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -26,6 +27,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_template_removal")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = templates.extract_articles(table(spark, sf_dir, "pages"))
+    return articles.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary of the public tokenizers package, found on the driver."""
     import public_tokenizers
