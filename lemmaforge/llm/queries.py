@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaforge.llm import bpe, decontaminate, templates, warc
+from lemmaforge.llm import bpe, decontaminate, quality, templates, toxicity, warc
 from lemmaforge.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,13 @@ FROM n
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archive_pages(table(spark, sf_dir, "pages"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
