@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaforge.llm import bpe, decontaminate, near_vectors, quality, templates, toxicity, warc
+from lemmaforge.llm import bpe, decontaminate, jaccard, near_vectors, quality, templates, toxicity, warc
 from lemmaforge.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,29 @@ FROM v JOIN smallest s ON s.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 @query("op4_near_vectors", OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4))) END AS s
+  FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, md5(unnest(s)::VARCHAR) AS x FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.b) AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
+@query("op8_jaccard_join", OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_documents(table(spark, sf_dir, "documents"))
