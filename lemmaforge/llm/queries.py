@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaforge.llm import bpe, decontaminate, jaccard, near_vectors, quality, templates, toxicity, warc
+from lemmaforge.llm import bpe, decontaminate, jaccard, near_vectors, quality, templates, toxicity, urls, warc
 from lemmaforge.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -130,3 +130,8 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.b) AS component_id FROM s JOIN re
 @query("op8_jaccard_join", OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
