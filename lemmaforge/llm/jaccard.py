@@ -313,8 +313,9 @@ def _across(chunks: DataFrame, lists: DataFrame, texts: DataFrame, width: int, p
     return cut_lineage(dealt.mapInArrow(_compare(width, percent, ["p", "q"]), "a bigint, b bigint"))
 
 
-def near_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents with their set's size and class `c`, and the classes that are linked, with `component`."""
+def near_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with their set's size and class `c`, the classes that are linked, with `component`, and the seed
+    with which sets are numbered."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     seed, spark = 0, docs.sparkSession
     while True:
@@ -351,7 +352,7 @@ def near_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
         links = links.union(_within(few, texts, width, percent)).union(_across(few, own_lists, texts, width, percent))
         last = _numbered(_with_component(rest, links), "component", "home")
         links = links.union(_within(last, texts, width, percent)).union(_across(last, own_lists, texts, width, percent))
-    return ids, components(links).select(F.col("id").alias("c"), "component")
+    return ids, components(links).select(F.col("id").alias("c"), "component"), seed
 
 
 def _with_component(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -366,7 +367,7 @@ def near_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     white space, have an empty set and link with nothing. Repeated rows each get their row; null ids are never a
     component's smallest id. Only `doc_id` and `text` are read.
     """
-    ids, linked = near_classes(docs, width, percent)
+    ids, linked, _ = near_classes(docs, width, percent)
     least = ids.where("size > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     least = least.join(linked, "c", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "c"))
     least = cut_lineage(least)
@@ -374,3 +375,27 @@ def near_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     known = cut_lineage(least.join(smallest, "component").select("c", "component_id"))
     out = ids.withColumn("c", F.when(F.col("size") > 0, F.col("c"))).join(known, "c", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` without words, and of each group of near documents the one with the smallest id.
+
+    Of rows with that id and equal sets one stays; null ids count as larger than all others.
+    """
+    ids, linked, seed = near_classes(docs, width, percent)
+    own = ids.where("size > 0").join(linked, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    # the smallest id of a component, and the class that has it
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")
+    best = cut_lineage(own.groupBy("component").agg(F.min(first).alias("f")).select(F.col("f.c").alias("_c"), F.col("f.doc_id").alias("_d")))
+    schema = docs.withColumn("_own", F.lit(0).cast("bigint")).schema
+    at = docs.columns.index("text")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column(at)]
+            classes = pa.array([set_hashes(s, seed)[0] if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, "_own"])
+
+    marked = docs.mapInArrow(number, schema)
+    kept = marked.where("_own is not null").join(best, (F.col("_own") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    return kept.dropDuplicates(["_own", "doc_id"]).select(*docs.columns).union(docs.where(F.coalesce("text", F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*$")))

@@ -55,18 +55,18 @@ def features_of(text: str | None) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """`docs` with the text replaced by `features`."""
+def with_features(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """`docs` with `features`, which take the place of the text unless it is kept."""
     at = docs.columns.index("text")
-    names = [c for c in docs.columns if c != "text"] + ["features"]
+    names = [c for c in docs.columns if keep_text or c != "text"] + ["features"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features_of(t.as_py()) for t in batch.column(at)]
-            others = [c for i, c in enumerate(batch.columns) if i != at]
+            others = [c for i, c in enumerate(batch.columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*others, pa.array(rows, pa.list_(pa.float64()))], names=names)
 
-    schema = docs.drop("text").withColumn("features", F.expr("cast(array() as array<double>)")).schema
+    schema = (docs if keep_text else docs.drop("text")).withColumn("features", F.expr("cast(array() as array<double>)")).schema
     return docs.mapInArrow(run, schema).withColumn("features", array_to_vector("features"))
 
 
@@ -92,45 +92,80 @@ def strength(groups: DataFrame, total: Column, size: Column, prior: Column) -> f
     return min(MOST_STRENGTH, max(1.0, 1 / between - 1))
 
 
-def classify_quality(
-    docs: DataFrame, labels: DataFrame, site: str = "source", section: str = "lang", fit_rows: int = FIT_ROWS, accept: float = ACCEPT
-) -> DataFrame:
-    """One row per document: `doc_id`, `evidence` (its own chance), `site_prior`, `section_prior`, `posterior`, `good`.
+class QualityModel:
+    """The fitted scale and weights; None where the sample lacks one of the two labels."""
 
-    Null and empty texts have features of zero and are judged as such. Null sites and sections are groups of their
-    own; repeated rows each count and get their row. Without both labels in the sample every document is good.
+    def __init__(self, docs: DataFrame, labels: DataFrame, fit_rows: int) -> None:
+        sample = labelled_sample(docs, labels, "quality", fit_rows)
+        self.model = None
+        if len({r.label for r in sample.select("label").distinct().collect()}) == 2:
+            known = with_features(sample.select("label", "text"))
+            self.scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(known)
+            self.model = LogisticRegression(featuresCol="scaled", labelCol="label", regParam=0.001).fit(self.scale.transform(known))
+
+    def evidence(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
+        """`docs` with `evidence`, their own chance of being good."""
+        kept = [c for c in docs.columns if keep_text or c != "text"]
+        judged = self.model.transform(self.scale.transform(with_features(docs, keep_text)))
+        return judged.select(*kept, vector_to_array("probability")[1].alias("evidence"))
+
+
+def section_sums(judged: DataFrame) -> tuple[DataFrame, Column]:
+    """Sums of sections and their sites with the strengths of the priors, and the global share of good documents.
+
+    Reads `_site`, `_section` and `evidence`. The result is written; the planner knows if it is small.
     """
-    judged = judge_quality(docs.select("doc_id", "text", site, section), labels, site, section, fit_rows, accept)
-    return judged.select("doc_id", "evidence", "site_prior", "section_prior", "posterior", "good")
-
-
-def judge_quality(docs: DataFrame, labels: DataFrame, site: str, section: str, fit_rows: int, accept: float) -> DataFrame:
-    sample = labelled_sample(docs, labels, "quality", fit_rows)
-    keys = [F.col("doc_id"), F.col(site).alias("_site"), F.col(section).alias("_section")]
-    if len({r.label for r in sample.select("label").distinct().collect()}) < 2:
-        sure = F.lit(1.0)
-        return docs.select("doc_id", *(sure.alias(c) for c in ("evidence", "site_prior", "section_prior", "posterior")), F.lit(True).alias("good"))
-    known = with_features(sample.select("label", "text"))
-    scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(known)
-    model = LogisticRegression(featuresCol="scaled", labelCol="label", regParam=0.001).fit(scale.transform(known))
-    judged = model.transform(scale.transform(with_features(docs.select(*keys, "text"))))
-    # ids and chances only: every step from here on is small beside the texts
-    judged = cut_lineage(judged.select("doc_id", "_site", "_section", vector_to_array("probability")[1].alias("evidence")))
     sums = [F.sum("evidence").alias("_s"), F.count("*").cast("double").alias("_n")]
     sections = cut_lineage(judged.groupBy("_site", "_section").agg(*sums))
     whole = sections.agg(F.sum("_s").alias("s"), F.sum("_n").alias("n")).first()
     prior = F.lit((whole.s + 1) / (whole.n + 2) if whole.n else 0.5)
     sites = sections.groupBy("_site").agg(F.sum("_s").alias("_site_s"), F.sum("_n").alias("_site_n"))
-    weight = strength(sites, F.col("_site_s"), F.col("_site_n"), prior)
-    sites = sites.withColumnRenamed("_site", "_of")
-    both = sections.join(sites, F.col("_site").eqNullSafe(F.col("_of"))).drop("_of")
-    mean = (F.col("_site_s") + weight * prior) / (F.col("_site_n") + weight)
+    outer = strength(sites, F.col("_site_s"), F.col("_site_n"), prior)
+    both = sections.join(sites.withColumnRenamed("_site", "_of"), F.col("_site").eqNullSafe(F.col("_of"))).drop("_of")
+    mean = (F.col("_site_s") + outer * prior) / (F.col("_site_n") + outer)
     inner = strength(both.withColumn("_mean", mean), F.col("_s"), F.col("_n"), F.col("_mean"))
-    both = cut_lineage(both.withColumnsRenamed({"_site": "_of", "_section": "_part"}))
-    out = judged.join(both, F.col("_site").eqNullSafe(F.col("_of")) & F.col("_section").eqNullSafe(F.col("_part")), "left")
+    both = both.withColumnsRenamed({"_site": "_of", "_section": "_part"}).withColumns({"_outer": F.lit(outer), "_inner": F.lit(inner)})
+    return cut_lineage(both), prior
+
+
+def with_posterior(judged: DataFrame, sections: DataFrame, prior: Column, accept: float) -> DataFrame:
+    """`judged` with `site_prior`, `section_prior`, `posterior` and `good`."""
+    out = judged.join(sections, F.col("_site").eqNullSafe(F.col("_of")) & F.col("_section").eqNullSafe(F.col("_part")))
     own = F.col("evidence")
-    site_prior = (F.col("_site_s") - own + weight * prior) / (F.col("_site_n") - 1 + weight)
-    section_prior = (F.col("_s") - own + inner * F.col("site_prior")) / (F.col("_n") - 1 + inner)
+    site_prior = (F.col("_site_s") - own + F.col("_outer") * prior) / (F.col("_site_n") - 1 + F.col("_outer"))
+    section_prior = (F.col("_s") - own + F.col("_inner") * F.col("site_prior")) / (F.col("_n") - 1 + F.col("_inner"))
     out = out.withColumn("site_prior", site_prior).withColumn("section_prior", section_prior)
     posterior = 1 / (1 + F.exp(-(odds(own) - odds(prior) + odds(F.col("section_prior")))))
     return out.withColumn("posterior", posterior).withColumn("good", F.col("posterior") >= accept)
+
+
+def classify_quality(
+    docs: DataFrame, labels: DataFrame, site: str = "source", section: str = "lang", fit_rows: int = FIT_ROWS, accept: float = ACCEPT
+) -> DataFrame:
+    """One row per document: `doc_id`, `evidence` (its own chance), `site_prior`, `section_prior`, `posterior`, `good`.
+
+    Null and empty texts have features of zero and are judged as such. Null sites and sections are groups of their
+    own; repeated rows each count and get their row. Without both labels in the sample every document is good.
+    """
+    names = ("evidence", "site_prior", "section_prior", "posterior")
+    own = docs.select("doc_id", F.col(site).alias("_site"), F.col(section).alias("_section"), "text")
+    model = QualityModel(docs, labels, fit_rows)
+    if model.model is None:
+        return own.select("doc_id", *(F.lit(1.0).alias(c) for c in names), F.lit(True).alias("good"))
+    # ids and chances only: every step from here on is small beside the texts
+    judged = cut_lineage(model.evidence(own))
+    sections, prior = section_sums(judged)
+    return with_posterior(judged, sections, prior, accept).select("doc_id", *names, "good")
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, site: str = "source", section: str = "lang", fit_rows: int = FIT_ROWS, accept: float = ACCEPT
+) -> DataFrame:
+    """The rows of `docs` that `classify_quality` calls good. Texts are read twice and not moved."""
+    model = QualityModel(docs, labels, fit_rows)
+    if model.model is None:
+        return docs
+    marked = docs.withColumns({"_site": F.col(site), "_section": F.col(section)})
+    sections, prior = section_sums(model.evidence(marked.select("_site", "_section", "text")))
+    judged = with_posterior(model.evidence(marked, keep_text=True), sections, prior, accept)
+    return judged.where("good").select(*docs.columns)
