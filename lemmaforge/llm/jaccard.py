@@ -387,7 +387,7 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     # the smallest id of a component, and the class that has it
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")
     best = cut_lineage(own.groupBy("component").agg(F.min(first).alias("f")).select(F.col("f.c").alias("_c"), F.col("f.doc_id").alias("_d")))
-    schema = docs.withColumn("_own", F.lit(0).cast("bigint")).schema
+    schema = docs.withColumn("_own", F.lit(None).cast("bigint")).schema
     at = docs.columns.index("text")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
