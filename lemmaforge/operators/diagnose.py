@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,11 +146,12 @@ def template_families(vocab: DataFrame, overlap: float = FAMILY_OVERLAP, least:
     """Dictionaries whose vocabularies coincide, by single linkage.
 
     Dictionaries with the same vocabulary are one point, so a template copied
-    a million times is compared once. Vocabularies that overlap enough share
-    at least five names, hence three of the few rarest names of each (prefix
-    filter); pairs are made from triples of those, never from single names.
+    a million times is compared once. Two that overlap enough share some of
+    the few rarest names of each (prefix filter); points meet in up to three
+    of those together, as many as the overlap and the least size warrant.
     Points are then linked by passing on the least label until none changes.
     """
+    together = max(1, min(3, math.ceil(overlap * least)))
     enough = cut_lineage(vocab.filter(F.size("vocabulary") >= least).select("dict_id", "vocabulary"))
     points = enough.groupBy("vocabulary").agg(F.min("dict_id").alias("point"))
     points = cut_lineage(points)
@@ -161,26 +164,23 @@ def template_families(vocab: DataFrame, overlap: float = FAMILY_OVERLAP, least:
         .groupBy("point")
         .agg(F.sort_array(F.collect_list(F.struct("df", "name"))).alias("_names"))
         .join(points, "point")
-        .withColumn("_p", F.transform(F.slice("_names", F.lit(1), (size - F.ceil(size * overlap) + 3).cast("int")), lambda x: x["name"]))
+        .withColumn("_p", F.transform(F.slice("_names", F.lit(1), (size - F.ceil(size * overlap) + together).cast("int")), lambda x: x["name"]))
     )
-    after = lambda items, i: F.slice(items, i + 2, F.size(items))
-    triples = F.flatten(
-        F.transform(
-            "_p",
-            lambda x, i: F.flatten(
-                F.transform(
-                    after(F.col("_p"), i),
-                    lambda y, j: F.transform(after(after(F.col("_p"), i), j), lambda z: F.array_join(F.array(x, y, z), "\0")),
-                )
-            ),
+    # each round puts one later name behind every group so far
+    groups = F.transform("_p", lambda x, i: F.struct(i.alias("at"), F.array(x).alias("names")))
+    for _ in range(together - 1):
+        more = lambda g: F.transform(
+            F.filter(F.transform("_p", lambda x, i: F.struct(i.alias("at"), x.alias("name"))), lambda y: y["at"] > g["at"]),
+            lambda y: F.struct(y["at"].alias("at"), F.array_append(g["names"], y["name"]).alias("names")),
         )
-    )
-    rare = rarest.select("point", "vocabulary", F.explode(triples).alias("triple"))
-    other = rare.select("triple", F.col("point").alias("point_b"), F.col("vocabulary").alias("vocabulary_b"))
+        groups = F.flatten(F.transform(groups, more))
+    groups = F.transform(groups, lambda g: F.array_join(g["names"], "\0"))
+    rare = rarest.select("point", "vocabulary", F.explode(groups).alias("shared_names"))
+    other = rare.select("shared_names", F.col("point").alias("point_b"), F.col("vocabulary").alias("vocabulary_b"))
     shared = F.size(F.array_intersect("vocabulary", "vocabulary_b"))
     union = F.size("vocabulary") + F.size("vocabulary_b") - shared
     pairs = (
-        rare.join(other, "triple")
+        rare.join(other, "shared_names")
         .filter((F.col("point") < F.col("point_b")) & (shared / union >= overlap))
         .select("point", "point_b")
         .distinct()

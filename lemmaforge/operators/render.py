@@ -81,19 +81,17 @@ def region_label(region: Column) -> Column:
 
 
 def numbered_senses(senses: DataFrame) -> DataFrame:
-    """Printed number of each sense: its own, else its place under its parent."""
-    own = F.when(F.trim(F.coalesce("number", F.lit(""))) != "", F.trim("number"))
-    deep = senses.withColumn("_own", own).withColumn("_d", F.size("path"))
-    shown = deep.filter(F.col("_d") == 1).withColumn("shown", F.coalesce("_own", F.element_at("path", 1).cast("string")))
-    out = shown
-    for depth in (2, 3):
-        above = shown.select("rec_id", "part_ord", F.col("path").alias("_up"), F.col("shown").alias("_above"))
-        below = deep.filter(F.col("_d") == depth).withColumn("_up", F.slice("path", 1, depth - 1))
-        shown = below.join(above, ["rec_id", "part_ord", "_up"]).withColumn(
-            "shown", F.coalesce("_own", F.concat("_above", F.lit("."), F.element_at("path", -1).cast("string")))
-        ).drop("_up", "_above")
-        out = out.unionByName(shown)
-    return out.drop("_own", "_d")
+    """Printed number of each sense at any depth: its own, else its place under the nearest numbered one above it."""
+    keys = ["rec_id", "part_ord"]
+    own = senses.withColumn("_own", F.when(F.trim(F.coalesce("number", F.lit(""))) != "", F.trim("number")))
+    numbers = own.filter(F.col("_own").isNotNull()).groupBy(*keys, F.col("path").alias("_up")).agg(F.min("_own").alias("_above"))
+    ups = own.filter(F.col("_own").isNull()).select(*keys, "path").distinct()
+    ups = ups.withColumn("_n", F.explode(F.sequence(F.lit(1), F.size("path")))).withColumn("_up", F.slice("path", F.lit(1), F.col("_n")))
+    near = ups.join(numbers, [*keys, "_up"]).groupBy(*keys, "path").agg(F.max_by("_above", "_n").alias("_above"), F.max("_n").alias("_n"))
+    wide = own.join(near, [*keys, "path"], "left")
+    rest = F.slice("path", F.coalesce("_n", F.lit(0)) + 1, F.size("path")).cast("array<string>")
+    shown = F.coalesce("_own", F.array_join(F.concat(F.array_compact(F.array("_above")), rest), "."))
+    return wide.withColumn("shown", shown).select(*senses.columns, "shown")
 
 
 def joined(items: Column, sep: str = ", ") -> Column:
@@ -428,14 +426,14 @@ def record_previews(entries: Entries, limit: int = 80) -> DataFrame:
         heads = entries.parts.select("rec_id", "part_ord", F.trim("pos").alias("pos"))
         said = entries.senses.withColumn("_b", body).filter(F.col("_b") != "").join(heads, ["rec_id", "part_ord"], "left")
         shown = F.concat_ws(" · ", F.when(filled("pos"), F.col("pos")), "_b")
-        candidates.append(said.select("rec_id", F.lit(0).alias("rank"), F.struct("part_ord", "path").alias("at"), shown.alias("t")))
-    simple = lambda ord_: F.struct(F.col(ord_).cast("int").alias("part_ord"), F.array().cast("array<int>").alias("path"))
+        candidates.append(said.select("rec_id", F.lit(0).alias("rank"), F.struct(F.col("part_ord").cast("bigint").alias("part_ord"), "path").alias("at"), shown.alias("t")))
+    simple = lambda ord_: F.struct(F.col(ord_).cast("bigint").alias("part_ord"), F.array().cast("array<int>").alias("path"))
     if entries.sections is not None:
         body = entries.sections.filter((F.col("kind") == "section") & filled("body"))
         candidates.append(body.select("rec_id", F.lit(1).alias("rank"), simple("ord").alias("at"), F.trim("body").alias("t")))
     if entries.phrases is not None:
         text = F.concat_ws(" — ", F.when(filled("phrase"), F.trim("phrase")), F.when(filled("definition"), F.trim("definition")))
-        order = from_titles(F.col("kind"), 0) * 100000 + F.col("ord")
+        order = F.shiftleft(from_titles(F.col("kind"), 0).cast("bigint"), 48) + F.col("ord")
         body = entries.phrases.withColumn("_o", order).filter(text != "")
         candidates.append(body.select("rec_id", F.lit(2).alias("rank"), simple("_o").alias("at"), text.alias("t")))
     every = candidates[0]

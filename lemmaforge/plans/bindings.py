@@ -42,7 +42,7 @@ def order_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (
         F.when(kind.isin(0, 4), name)
         .when(kind.isin(1, 5), F.upper(name))
-        .when(kind.isin(2, 6), F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 1000)))
+        .when(kind.isin(2, 6), F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2))))
         .when(kind == 3, F.concat(F.lit("  "), name, F.lit(" ")))
         .otherwise(F.upper(F.left(name, F.lit(4))))
     )
@@ -92,7 +92,7 @@ def page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("dict_id"),
         "page_id",
         F.posexplode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("pos", "ref"),
-    ).withColumn("position", F.col("page_id") * 1000000 + F.col("pos"))
+    ).withColumn("position", F.shiftleft("page_id", 31) + F.col("pos"))
 
 
 PAGE_REFS = r"""refs AS (

@@ -489,7 +489,7 @@ def has_resource(spark, sf_dir):
 @query(
     "j09_missing_stylesheets",
     f"""WITH {RESOURCES}, sheets AS (
-  SELECT dict_id, ltrim(ref, '/') || '.css' AS sheet, page_id * 1000000 + pos AS position FROM refs),
+  SELECT dict_id, ltrim(ref, '/') || '.css' AS sheet, page_id * 2147483648 + pos AS position FROM refs),
 kept AS (SELECT DISTINCT dict_id, lower(ltrim(ref, '/') || '.css') AS res_key FROM refs WHERE pos % 2 = 0)
 SELECT dict_id, sheet, position FROM (
   SELECT *, row_number() OVER (PARTITION BY dict_id, lower(sheet) ORDER BY position) AS rn FROM sheets)
@@ -591,7 +591,7 @@ def sibling_selectors(spark, sf_dir):
 
 @query(
     "q08_first_seen_distinct",
-    f"""WITH {PAGE_REFS} SELECT dict_id, ref, min(page_id * 1000000 + pos)::BIGINT AS position FROM refs GROUP BY ALL""",
+    f"""WITH {PAGE_REFS} SELECT dict_id, ref, min(page_id * 2147483648 + pos)::BIGINT AS position FROM refs GROUP BY ALL""",
 )
 def first_seen(spark, sf_dir):
     return ranking.first_seen(page_refs(spark, sf_dir), ["dict_id"], "ref", "position")

@@ -221,7 +221,7 @@ def link_targets(spark, sf_dir):
     refs = table(spark, sf_dir, "pages").select(
         "page_id", F.posexplode(F.expr("regexp_extract_all(html, 'href=\"(/[^\"#]*)\"', 1)")).alias("i", "ref")
     )
-    word = F.replace(F.replace(F.substring("ref", 2, 100000), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
+    word = F.replace(F.replace(F.expr("substring(ref, 2)"), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
     href = F.concat(F.lit("entry://"), word, F.lit("+x#top"))
     return refs.select(
         "page_id", (F.col("i") + 1).cast("bigint").alias("position"), href.alias("href"), R.link_headword(href).alias("target")

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()  # made by this process
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -34,20 +36,26 @@ def build_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in `spark.checkpoint.dir`.
+    """This application's own folder in the shared one that `spark.checkpoint.dir` names; it goes with the session.
 
-    A temporary folder is used only where the setting is unset and the
-    session is local, as in tests.
+    A temporary folder is used only where the setting is unset and the session is local, as in tests.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    folder = folder or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    shared = shared or context.getCheckpointDir()
+    if shared is None:
+        if not context._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared)
+    folder = f"{shared.rstrip('/')}/lemmaforge-{context.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return folder
 
 

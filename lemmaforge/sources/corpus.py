@@ -56,7 +56,9 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def named_files(files: DataFrame, root: str) -> DataFrame:
     """Parts of the paths of (path, length) rows, hidden ones out."""
     name = F.element_at(F.split("path", "/"), -1)
-    below = F.replace("path", F.lit(root.rstrip("/")), F.lit(""))
+    # the path may carry a scheme before the root; what follows is kept as it is
+    top = F.lit(root.rstrip("/"))
+    below = F.substr("path", F.greatest(F.instr("path", root.rstrip("/")) + F.length(top), F.lit(1)))
     return (
         files.withColumn("name", name)
         .filter(~F.startswith("name", F.lit("._")) & ~below.rlike(r"/\.[^/]*/"))
@@ -194,15 +196,14 @@ def rebuild(derived: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(os.path.join(path, name))
 
 
-def read_profiles(spark: SparkSession, path: str) -> list[dict]:
-    """Layout profiles from a JSON array, with a fixed schema.
+def profile_table(spark: SparkSession, path: str) -> DataFrame:
+    """Layout profiles from a JSON array, with a fixed schema, one row each."""
+    return spark.read.schema(PROFILE).option("multiLine", "true").json(path)
 
-    Profiles become selector columns of a plan; their number is that of
-    hand-written files, checked here.
-    """
-    rows = spark.read.schema(PROFILE).option("multiLine", "true").json(path).limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 profiles")
+
+def read_profiles(spark: SparkSession, path: str) -> list[dict]:
+    """The profiles as selector settings of a plan; they are hand-written, so all of them fit the driver."""
+    rows = profile_table(spark, path).collect()
     return [
         {
             "id": r["id"],
