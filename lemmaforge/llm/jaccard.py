@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lemmaforge.llm.components import components
 from lemmaforge.llm.near_vectors import _bounds, local_roots
-from lemmaforge.llm.words import WordHashes, blank_words, mix
+from lemmaforge.llm.words import blank_word_hashes, mix
 from lemmaforge.session import cut_lineage
 
 WORDS = 5
@@ -32,34 +32,67 @@ PERCENT = 80
 COUNTS = 1 << 21  # counters of the table of frequencies: 2 MB to each task
 PIECE = 1 << 15  # counters in a row while they are summed
 CHUNK = 512  # classes of a chunk at most
+FEW = 6  # sets of a shingle up to which its pairs are counted one by one
 CHUNK_SHINGLES = 2_000_000  # of a chunk, unless one class alone has more
 WANTED_BITS = 1 << 26  # of the filter for texts that are compared, 8 MB; false hits only cost time
 
-_HASHES: list[WordHashes] = []
+def shingle_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of `width` words in a row; of fewer words the whole; of none, none."""
+    words, sizes = blank_word_hashes(texts)
+    flat = np.concatenate([words, np.zeros(width, np.uint64)])
+    factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    value = np.full(len(flat) - width, width, np.uint64)
+    for k in range(width):
+        value += flat[k : len(flat) - width + k] * factors[k]
+    value, out, at = mix(value), [], 0
+    for size in sizes.tolist():
+        if size >= width or not size:
+            own = value[at : at + max(0, size - width + 1)]
+        else:
+            own = mix((flat[at : at + size] * factors[:size]).sum(keepdims=True) + np.uint64(size))
+        at += size
+        own = np.sort(own)
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own)
+    return out
 
 
 def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of `width` words in a row; of fewer words the whole; of none, none."""
-    words = blank_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    if not _HASHES:
-        _HASHES.append(WordHashes())
-    own = _HASHES[0].of(words)
-    width = min(width, len(own))
-    value = np.full(len(own) - width + 1, width, np.uint64)
-    for i in range(width):
-        value = mix(value ^ own[i : len(own) - width + 1 + i])
-    return np.unique(value)
+    return shingle_sets([text], width)[0]
 
 
-def set_hashes(own: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two signed 64-bit hashes of a set."""
+def _slices(column: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Texts of a column, some characters at a time, so that arrays over their words stay small."""
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    for texts in _slices(column):
+        yield from shingle_sets(texts, width)
+
+
+def text_hashes(text: str | None) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a text."""
+    return _signed((text or "").encode(), 0)
+
+
+def _signed(data: bytes, seed: int) -> tuple[int, int]:
     import xxhash
 
-    value = xxhash.xxh3_128_intdigest(own.tobytes(), seed=seed)
-    low, high = value & (2**64 - 1), value >> 64
-    return tuple(x - 2**64 if x >= 2**63 else x for x in (low, high))
+    value = xxhash.xxh3_128_intdigest(data, seed=seed)
+    return tuple(x - 2**64 if x >= 2**63 else x for x in (value & (2**64 - 1), value >> 64))
+
+
+def set_hashes(own: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set."""
+    return _signed(own.tobytes(), seed)
 
 
 def prefix_size(size: int, percent: int) -> int:
@@ -67,27 +100,31 @@ def prefix_size(size: int, percent: int) -> int:
 
 
 def _survey(width: int, counts: int, seed: int):
-    """Documents to their set's size and hashes; at the end of a task its counts of shingles, piece by piece."""
+    """Documents to their set's size and hashes and their text's; at the end of a task its counts, piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "size", "c", "h", "piece", "counts"]
+        names = ["doc_id", "size", "c", "h", "t", "u", "piece", "counts"]
         table, seen, kind = np.zeros(counts, np.uint32), set(), None
         for batch in batches:
-            kind, rows = batch.column(0).type, []
-            for text in batch.column(1):
-                own = shingles(text.as_py(), width)
+            kind, rows, new = batch.column(0).type, [], []
+            for own, text in zip(_sets(batch.column(1), width), batch.column(1)):
                 c, h = set_hashes(own, seed)
-                rows.append((len(own), c, h))
+                rows.append((len(own), c, h, *text_hashes(text.as_py())))
                 if len(own) and c not in seen:
                     seen.add(c)
-                    np.add.at(table, (own & np.uint64(counts - 1)).astype(np.int64), 1)
-            columns = [pa.array(list(x), pa.int64()) for x in (zip(*rows) if rows else ([], [], []))]
+                    new.append((own & np.uint64(counts - 1)).astype(np.int32))
+                if len(new) > 1000:
+                    np.add.at(table, np.concatenate(new), 1)
+                    new = []
+            if new:
+                np.add.at(table, np.concatenate(new), 1)
+            columns = [pa.array(list(x), pa.int64()) for x in (zip(*rows) if rows else [()] * 5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
         if kind is not None:
             for i in range(0, counts, PIECE):
                 part = table[i : i + PIECE]
                 if part.any():
-                    empty = [pa.nulls(1, pa.int64())] * 3
+                    empty = [pa.nulls(1, pa.int64())] * 5
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *empty, pa.array([i // PIECE], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
 
     return run
@@ -112,16 +149,17 @@ def _post(width: int, percent: int, seed: int, shared):
         levels, seen = shared.value, set()
         for batch in batches:
             tokens, classes, sizes, rests = [], [], [], []
-            for text in batch.column(0):
-                own = shingles(text.as_py(), width)
+            for own in _sets(batch.column(0), width):
                 c = set_hashes(own, seed)[0]
                 if not len(own) or c in seen:
                     continue
                 seen.add(c)
-                level = levels[(own & np.uint64(len(levels) - 1)).astype(np.int64)]
                 n = prefix_size(len(own), percent)
-                # mixed once more, so that the order within a level has nothing to do with the counters' places
-                tokens.append(own[np.lexsort((mix(own), level))[:n]])
+                # rare ones first; within a level by a number that has nothing to do with the counters' places
+                level = levels[(own & np.uint64(len(levels) - 1)).astype(np.int32)].astype(np.uint64)
+                order = level << np.uint64(56) | (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
+                first = np.argpartition(order, n - 1)[:n] if n < len(own) else np.arange(n)
+                tokens.append(own[first[np.argsort(order[first], kind="stable")]])
                 classes.append(np.full(n, c, np.int64))
                 sizes.append(np.full(n, len(own), np.int32))
                 rests.append(len(own) - np.arange(n, dtype=np.int32))
@@ -179,27 +217,43 @@ def _chunk(most: int, shingles_most: int):
 
 
 def _links_of(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked sets; with two sides, pairs across them."""
+    """Index pairs of linked sets; with two sides, pairs across them.
+
+    Shingles of few sets add to the pairs of these one by one, those of many by products of incidence matrices.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    column = np.cumsum(new) - 1
-    twice = np.bincount(column)[column] > 1
-    column, owner = column[twice], owner[twice]
-    shared = np.zeros((n, n), np.float32)
-    if len(column):
-        column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1
-        step = max(256, 4_000_000 // n)
-        for at in range(0, int(column[-1]) + 1, step):
-            low, high = np.searchsorted(column, [at, at + step])
-            part = np.zeros((n, step), np.float32)
-            part[owner[low:high], column[low:high] - at] = 1
-            shared += part @ part.T
-    # 100 * shared >= percent * (a + b - shared)
-    near = (100 + percent) * shared.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :])
+    start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    times = np.diff(np.concatenate([start, [len(flat)]]))
+    shared = np.zeros(n * n, np.int64)
+    for k in range(2, FEW + 1):
+        held = owner[start[times == k][:, None] + np.arange(k)]
+        for i in range(k):
+            for j in range(i + 1, k):
+                shared += np.bincount(held[:, i] * n + held[:, j], minlength=n * n) if len(held) > n else 0
+                if 0 < len(held) <= n:
+                    np.add.at(shared, held[:, i] * n + held[:, j], 1)
+    shared = shared.reshape(n, n)
+    start, times = start[times > FEW], times[times > FEW]
+    if len(start):
+        step = min(len(start), max(256, 4_000_000 // n))
+        for at in range(0, len(start), step):
+            own, many = start[at : at + step], times[at : at + step]
+            rows = np.repeat(own - np.cumsum(many) + many, many) + np.arange(many.sum())
+            part = np.zeros((n, len(own)), np.float32)
+            part[owner[rows], np.repeat(np.arange(len(own)), many)] = 1
+            if side.any():
+                one, two = np.flatnonzero(side == 0), np.flatnonzero(side)
+                found = np.zeros((n, n), np.int64)
+                found[np.ix_(one, two)] = part[one] @ part[two].T
+                shared += np.maximum(found, found.T)
+            else:
+                shared += (part @ part.T).astype(np.int64)
+    # owners rise within a shingle, so the upper half is whole; 100 * shared >= percent * (a + b - shared)
+    near = (100 + percent) * shared >= percent * (sizes[:, None] + sizes[None, :])
     near &= (side[:, None] != side[None, :]) if side.any() else True
     return np.nonzero(np.triu(near, 1))
 
@@ -210,7 +264,7 @@ def _compare(width: int, percent: int, key: list[str]):
     def group(rows: pa.Table) -> pa.RecordBatch | None:
         if len(rows) < 2:
             return None
-        sets = [shingles(t.as_py(), width) for t in rows.column("text")]
+        sets = [s for part in rows.column("text").chunks for s in _sets(part, width)]
         a, b = _links_of(sets, rows.column("side").to_numpy(), percent)
         root = local_roots(len(sets), a, b)
         moved = np.flatnonzero(root != np.arange(len(root)))
@@ -233,8 +287,11 @@ def _compare(width: int, percent: int, key: list[str]):
     return run
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
-    """`c` and `text` of the wanted classes, one row each. A filter of fixed size keeps other texts from moving."""
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`c` and `text` of the wanted classes, one row each. A filter of fixed size keeps other texts from moving.
+
+    `wanted` has `c` and the hashes `t` and `u` of one of its texts, so no text is cut to words here.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(WANTED_BITS // 8, np.uint8)
@@ -253,7 +310,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> Data
         for piece, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["piece", "bits"])
 
-    pieces = wanted.select("c").mapInArrow(mark, "piece int, bits binary").repartition("piece").mapInArrow(add, "piece int, bits binary")
+    pieces = wanted.select("t").mapInArrow(mark, "piece int, bits binary").repartition("piece").mapInArrow(add, "piece int, bits binary")
     bits = np.zeros(WANTED_BITS // 8, np.uint8)
     for row in pieces.collect():
         bits[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.bits, np.uint8)
@@ -262,18 +319,19 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> Data
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = shared.value, set()
         for batch in batches:
-            at, classes = [], []
+            at, found = [], []
             for i, text in enumerate(batch.column(0)):
-                c = set_hashes(shingles(text.as_py(), width), seed)[0]
-                place = c & (WANTED_BITS - 1)
-                if held[place >> 3] >> (place & 7) & 1 and c not in seen:
-                    seen.add(c)
+                t, u = text_hashes(text.as_py())
+                place = t & (WANTED_BITS - 1)
+                if held[place >> 3] >> (place & 7) & 1 and (t, u) not in seen:
+                    seen.add((t, u))
                     at.append(i)
-                    classes.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], names=["c", "text"])
+                    found.append((t, u))
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(at, pa.int64()))], names=["t", "u", "text"])
 
-    found = docs.select("text").where("text is not null").mapInArrow(pick, "c bigint, text string")
-    return cut_lineage(found.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"]))
+    found = docs.select("text").where("text is not null").mapInArrow(pick, "t bigint, u bigint, text string")
+    return cut_lineage(found.join(wanted.select("c", "t", "u"), ["t", "u"]).dropDuplicates(["c"]).select("c", "text"))
 
 
 def _numbered(classes: DataFrame, *order: str) -> DataFrame:
@@ -319,9 +377,9 @@ def near_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     seed, spark = 0, docs.sparkSession
     while True:
-        schema = f"doc_id {kind}, size bigint, c bigint, h bigint, piece int, counts binary"
+        schema = f"doc_id {kind}, size bigint, c bigint, h bigint, t bigint, u bigint, piece int, counts binary"
         survey = cut_lineage(docs.select("doc_id", "text").mapInArrow(_survey(width, COUNTS, seed), schema))
-        ids = survey.where("piece is null").select("doc_id", "size", "c", "h")
+        ids = survey.where("piece is null").select("doc_id", "size", "c", "h", "t", "u")
         clash = ids.groupBy("c").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y")
         if clash.isEmpty():
             break
@@ -339,7 +397,8 @@ def near_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     homes = lists.groupBy("c", "size", "first").count().groupBy("c", "size").agg(F.max_by("first", F.struct("count", "first")).alias("home"))
     classes = cut_lineage(homes.join(gathered.select(F.col("id").alias("c"), F.col("component").alias("g")), "c"))
     chunks = _numbered(classes, "home")
-    texts = _texts_of(docs, classes, width, seed)
+    one_text = ids.where("size > 0").groupBy("c").agg(F.min(F.struct("t", "u")).alias("x"))
+    texts = _texts_of(docs, classes.select("c").join(one_text, "c").select("c", "x.t", "x.u"))
     links = _within(chunks, texts, width, percent)
     large = chunks.groupBy("g").agg(F.min("chunk").alias("x"), F.max("chunk").alias("y")).where("x <> y").select("g")
     if not large.isEmpty():
@@ -392,7 +451,7 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(at)]
+            sets = _sets(batch.column(at), width)
             classes = pa.array([set_hashes(s, seed)[0] if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, "_own"])
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 
 # Words are runs of 0-9, a-z and bytes above 0x7F after A-Z is lower-cased; any other byte parts them.
 _ALNUM = bytes(
@@ -29,26 +28,6 @@ def sha256_hex(data: str | bytes) -> str:
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
 
-class WordHashes(dict):
-    """Memo of 64-bit word hashes, equal in every process. It empties itself when full, so memory is bounded."""
-
-    def __init__(self, most: int = 300_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -61,8 +40,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    """An Arrow list column of flat values cut by counts."""
-    offsets = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LONGEST = 64  # bytes of a word up to which it is hashed by sums
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64)) * ~_BLANK
+_PLACE = np.cumprod(np.full(_LONGEST + 1, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def blank_word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the `blank_words` of all texts in a row, and how many each text has.
+
+    A letter counts by its value and its place in the word, so whole arrays of bytes are hashed at once; words
+    longer than 64 bytes are hashed by themselves. Equal in every process.
+    """
+    import xxhash
+
+    parts = [(t or "").encode().translate(_LOWER) for t in texts]
+    raw = b" ".join([*parts, b""]) or b" "
+    data = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[data]
+    first = ~blank & np.concatenate([[True], blank[:-1]])
+    starts = np.flatnonzero(first)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    at = np.arange(len(data), dtype=np.int32)
+    place = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), _LONGEST)
+    value = mix(np.add.reduceat(_LETTER[data] * _PLACE[place], starts))
+    stop = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+    for i in np.flatnonzero(stop - starts > _LONGEST).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : stop[i]])
+    return value, counts
