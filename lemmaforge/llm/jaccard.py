@@ -7,9 +7,9 @@ part by more than the threshold, and lists of one entry go. Classes that share a
 bounded size, each class shipped once, and compared by one product of their incidence matrices.
 
 Gatherings larger than a chunk are where the skipping is. First every chunk is compared with itself. Then one set
-of each component found so far stands for all of it, as its partners are its component's. Then chunks are laid out
-anew by component: two chunks of one component are skipped, and so are two blocks of a list whose best position
-and least sizes leave too little overlap. No pair of documents leaves a task, only a forest of the links.
+of each component found so far stands for all of it, as its partners are its component's. Last, entries of a list
+meet its blocks in other chunks; a block is skipped if it lies in the entry's own component, or if its best
+position and least size leave too little overlap. No pair of documents leaves a task, only a forest of the links.
 """
 
 from __future__ import annotations
@@ -349,24 +349,24 @@ def _within(chunks: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _across(chunks: DataFrame, lists: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between different chunks that meet in a list, where `component` does not already tell them.
+    """Links between classes of different chunks that meet in a list, where `component` does not already tell them.
 
-    Blocks are a list's entries of one chunk, with the most shingles left at the token and the least size.
+    Blocks are a list's entries of one chunk, with the most shingles left at the token, the least size, and the
+    component if they have but one. An entry goes only to chunks with a block it may link with.
     """
-    own = chunks.groupBy("chunk").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    entries = cut_lineage(lists.join(chunks.select("c", "chunk", "component"), "c"))
+    blocks = entries.groupBy("token", "first", "chunk").agg(
+        F.max("rest").alias("rest"), F.min("size").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")
+    )
     sure = F.when(F.col("x") == F.col("y"), F.col("x")).alias("sure")
-    blocks = lists.join(chunks.select("c", "chunk"), "c").groupBy("token", "first", "chunk")
-    blocks = blocks.agg(F.max("rest").alias("rest"), F.min("size").alias("size")).join(own.select("chunk", sure), "chunk")
-    held = F.struct("chunk", "rest", "size", "sure")
-    # a list's blocks are as many as its chunks: entries by the chunk size
-    met = blocks.groupBy("token", "first").agg(F.sort_array(F.collect_list(held)).alias("l")).where("size(l) > 1")
-    met = met.select(F.posexplode("l").alias("i", "p"), "l").select("p", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("q"))
-    fits = (100 + percent) * F.least("p.rest", "q.rest") >= percent * (F.col("p.size") + F.col("q.size"))
-    told = F.coalesce(F.col("p.sure") == F.col("q.sure"), F.lit(False))
-    pairs = cut_lineage(met.where(fits & ~told).select(F.col("p.chunk").alias("p"), F.col("q.chunk").alias("q")).distinct())
-    key = F.col("p").alias("p"), F.col("q").alias("q")
-    sides = pairs.select(*key, F.col("p").alias("chunk"), F.lit(0).alias("side")).union(pairs.select(*key, F.col("q").alias("chunk"), F.lit(1).alias("side")))
-    rows = sides.join(chunks.select("c", "chunk"), "chunk").join(texts, "c").drop("chunk")
+    # a list has as many blocks as chunks: its entries by the chunk size
+    met = blocks.groupBy("token", "first").agg(F.collect_list(F.struct("chunk", "rest", "size", sure)).alias("l")).where("size(l) > 1")
+    pairs = entries.join(met, ["token", "first"]).withColumn("o", F.explode("l")).where("o.chunk <> chunk")
+    fits = (100 + percent) * F.least("rest", "o.rest") >= percent * (F.col("size") + F.col("o.size"))
+    told = F.coalesce(F.col("component") == F.col("o.sure"), F.lit(False))
+    p, q = F.least("chunk", "o.chunk").alias("p"), F.greatest("chunk", "o.chunk").alias("q")
+    sides = pairs.where(fits & ~told).select(p, q, (F.col("chunk") > F.col("o.chunk")).cast("int").alias("side"), "c").distinct()
+    rows = cut_lineage(sides).join(texts, "c")
     dealt = rows.repartition("p", "q").sortWithinPartitions("p", "q", "c")
     return cut_lineage(dealt.mapInArrow(_compare(width, percent, ["p", "q"]), "a bigint, b bigint"))
 
@@ -405,12 +405,12 @@ def near_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
         rest = cut_lineage(classes.join(large, "g", "left_semi"))
         own_lists = cut_lineage(lists.join(rest.select("c"), "c", "left_semi"))
         found = _with_component(rest, links)
-        # one set for each component: the smallest, as every list orders it first
-        first = found.groupBy("component").agg(F.min_by("c", F.struct("size", "c")).alias("c"))
+        # where components of several classes meet, one set each stands for them: the smallest, first in every list
+        first = found.groupBy("component").agg(F.min_by("c", F.struct("size", "c")).alias("c"), F.count("*").alias("n")).where("n > 1")
         few = _numbered(found.join(first.select("c"), "c", "left_semi"), "home")
         links = links.union(_within(few, texts, width, percent)).union(_across(few, own_lists, texts, width, percent))
-        last = _numbered(_with_component(rest, links), "component", "home")
-        links = links.union(_within(last, texts, width, percent)).union(_across(last, own_lists, texts, width, percent))
+        told = _with_component(rest, links).select("c", "component")
+        links = links.union(_across(chunks.select("c", "chunk").join(told, "c"), own_lists, texts, width, percent))
     return ids, components(links).select(F.col("id").alias("c"), "component"), seed
 
 
