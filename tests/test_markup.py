@@ -72,6 +72,16 @@ def test_cascade(spark):
         ("p>.a{display:none}", '<p><i><span class="a">x</span></i></p>', None),
         ("@media (max-width:9px){.a{display:none}} @media screen{.a{display:block}}", '<p><span class="a">x</span></p>', "block"),
         (".a:hover{display:none}", '<p><span class="a">x</span></p>', None),
+        ("h1 ~ .a{display:none}", '<h1>1</h1><i>2</i><p class="a">x</p>', "none"),
+        (".a ~ h1{display:none}", '<h1>1</h1><p class="a">x</p>', None),
+        ("div h1 + p i + .a{display:none}", '<div><h1>1</h1><p><i>2</i><b class="a">x</b></p></div>', "none"),
+        ("div > h1 + p ~ .a{display:none}", '<div><h1>1</h1><p>2</p><p>3</p><b class="a">x</b></div>', "none"),
+        ("div h1 + .a{display:none}", '<div><h1>1</h1><i>2</i><p class="a">x</p></div>', None),
+        ("p:first-child{display:none}", '<div><p>1</p><p class="a">x</p></div>', None),
+        ("p:last-child{display:none} p:nth-child(2){display:block}", '<div><p>1</p><p class="a">x</p></div>', "block"),
+        ("li:nth-child(odd) .a{display:none}", '<ul><li>1</li><li>2</li><li><b class="a">x</b></li></ul>', "none"),
+        ("p:not(.b):only-child{display:none}", '<div><p class="a">x</p></div>', "none"),
+        ("p:not(.a){display:none} p:first-line{display:none}", '<div><p class="a">x</p></div>', None),
         (".a::-webkit-scrollbar, .a{display:none}", '<p><span class="a">x</span></p>', "none"),
     ]
     data = [(i, f"d{i}", html) for i, (_, html, _) in enumerate(cases)]
@@ -81,6 +91,7 @@ def test_cascade(spark):
     at = nodes.filter(F.array_contains("classes", "a")).select("rec_id", "pre")
     got = dict(rows(won.join(at, ["rec_id", "pre"]).filter("property = 'display'"), "rec_id", "value"))
     assert [got.get(i) for i in range(len(cases))] == [want for *_, want in cases]
+    assert {s for _, s in rows(S.unread_selectors(sheets), "rule_ord", "selector")} == {".a:hover", "p:first-line", ".a::-webkit-scrollbar"}
 
 
 def test_visibility_and_generated_text(spark):
