@@ -288,9 +288,10 @@ def _compare(width: int, percent: int, key: list[str]):
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`c` and `text` of the wanted classes, one row each. A filter of fixed size keeps other texts from moving.
+    """The wanted classes with `text`, one row each. A filter of fixed size keeps other texts from moving.
 
-    `wanted` has `c` and the hashes `t` and `u` of one of its texts, so no text is cut to words here.
+    `wanted` has the hashes `t` and `u` of one text of each class, so no text is cut to words here, and copies go
+    and classes come where their text already is: it moves once.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +332,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(at, pa.int64()))], names=["t", "u", "text"])
 
     found = docs.select("text").where("text is not null").mapInArrow(pick, "t bigint, u bigint, text string")
-    return cut_lineage(found.join(wanted.select("c", "t", "u"), ["t", "u"]).dropDuplicates(["c"]).select("c", "text"))
+    return cut_lineage(found.dropDuplicates(["t", "u"]).join(wanted, ["t", "u"]).drop("t", "u"))
 
 
 def _numbered(classes: DataFrame, *order: str) -> DataFrame:
@@ -341,9 +342,9 @@ def _numbered(classes: DataFrame, *order: str) -> DataFrame:
     return cut_lineage(dealt.mapInArrow(_chunk(CHUNK, CHUNK_SHINGLES), schema))
 
 
-def _within(chunks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _within(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links inside of chunks."""
-    rows = chunks.select("c", "chunk", F.lit(0).alias("side")).join(texts, "c")
+    rows = texts.select("c", "chunk", "text", F.lit(0).alias("side"))
     dealt = rows.repartition("chunk").sortWithinPartitions("chunk", "c")
     return cut_lineage(dealt.mapInArrow(_compare(width, percent, ["chunk"]), "a bigint, b bigint"))
 
@@ -398,8 +399,9 @@ def near_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     classes = cut_lineage(homes.join(gathered.select(F.col("id").alias("c"), F.col("component").alias("g")), "c"))
     chunks = _numbered(classes, "home")
     one_text = ids.where("size > 0").groupBy("c").agg(F.min(F.struct("t", "u")).alias("x"))
-    texts = _texts_of(docs, classes.select("c").join(one_text, "c").select("c", "x.t", "x.u"))
-    links = _within(chunks, texts, width, percent)
+    texts = _texts_of(docs, chunks.select("c", "chunk").join(one_text, "c").select("c", "chunk", "x.t", "x.u"))
+    links = _within(texts, width, percent)
+    texts = texts.select("c", "text")
     large = chunks.groupBy("g").agg(F.min("chunk").alias("x"), F.max("chunk").alias("y")).where("x <> y").select("g")
     if not large.isEmpty():
         rest = cut_lineage(classes.join(large, "g", "left_semi"))
@@ -408,7 +410,7 @@ def near_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
         # where components of several classes meet, one set each stands for them: the smallest, first in every list
         first = found.groupBy("component").agg(F.min_by("c", F.struct("size", "c")).alias("c"), F.count("*").alias("n")).where("n > 1")
         few = _numbered(found.join(first.select("c"), "c", "left_semi"), "home")
-        links = links.union(_within(few, texts, width, percent)).union(_across(few, own_lists, texts, width, percent))
+        links = links.union(_within(few.select("c", "chunk").join(texts, "c"), width, percent)).union(_across(few, own_lists, texts, width, percent))
         told = _with_component(rest, links).select("c", "component")
         links = links.union(_across(chunks.select("c", "chunk").join(told, "c"), own_lists, texts, width, percent))
     return ids, components(links).select(F.col("id").alias("c"), "component"), seed
