@@ -225,14 +225,14 @@ def oversize(spark, sf_dir):
 
 @query(
     "e28_script_seam",
-    r"""WITH l AS (SELECT doc_id, regexp_replace(lower(text[1:60]), '[^\p{L} ]', '', 'g') AS own0, length(text) % 12 AS n FROM documents),
+    r"""WITH l AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L} ]', '', 'g') AS own0, length(text) % 12 + (doc_id % 3) * (length(text) // 60) AS n FROM documents),
 s AS (SELECT doc_id, trim(regexp_replace(own0, '\s+', ' ', 'g')) AS own, repeat('湖水', n) AS gloss FROM l)
 SELECT doc_id, CASE WHEN length(own) >= 3 AND length(gloss) >= 2 AND length(gloss) * 20 >= length(own) THEN own END AS own,
 CASE WHEN length(own) >= 3 AND length(gloss) >= 2 AND length(gloss) * 20 >= length(own) THEN gloss END AS gloss FROM s""",
 )
 def script_seam(spark, sf_dir):
-    own = T.collapse_space(F.regexp_replace(F.lower(F.left("text", F.lit(60))), r"[^\p{L} ]", ""))
-    both = F.concat(own, F.lit(" "), F.repeat(F.lit("湖水"), (F.length("text") % 12).cast("int")))
+    own = T.collapse_space(F.regexp_replace(F.lower("text"), r"[^\p{L} ]", ""))
+    both = F.concat(own, F.lit(" "), F.repeat(F.lit("湖水"), (F.length("text") % 12 + (F.col("doc_id") % 3) * F.floor(F.length("text") / 60)).cast("int")))
     return (
         documents(spark, sf_dir)
         .select("doc_id", both.alias("t"))

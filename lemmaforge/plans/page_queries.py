@@ -263,7 +263,7 @@ def list_hygiene(spark, sf_dir):
 
 @query(
     "a01_stride_sample",
-    """WITH n AS (SELECT source, doc_id, text[1:30] AS key, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos,
+    """WITH n AS (SELECT source, doc_id, text AS key, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos,
   count(*) OVER (PARTITION BY source) AS n FROM documents),
 s AS (SELECT source, trim(key, ' ' || chr(10) || chr(9) || chr(13)) AS key, min(pos) AS position FROM n WHERE (pos - 1) % greatest(n // 10, 1) = 0 GROUP BY ALL)
 SELECT source AS dict_id, key, position, sample_ord FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) AS sample_ord FROM s WHERE key <> '')
@@ -271,7 +271,7 @@ WHERE sample_ord <= 10""",
 )
 def stride_sample(spark, sf_dir):
     records = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("dict_id"), F.left("text", F.lit(30)).alias("key"), F.col("doc_id").alias("source_ord")
+        F.col("source").alias("dict_id"), F.col("text").alias("key"), F.col("doc_id").alias("source_ord")
     )
     return D.stride_sample(records, 10)
 

@@ -141,8 +141,8 @@ def loudness_gain(spark, sf_dir):
 
 @query(
     "f02_slug",
-    r"""SELECT doc_id, CASE WHEN rtrim(ltrim(regexp_replace(lower(text[1:50]), '[^\p{L}\p{Nd}]+', '-', 'g'), '-')[1:32], '-') = '' THEN 'entry'
-ELSE rtrim(ltrim(regexp_replace(lower(text[1:50]), '[^\p{L}\p{Nd}]+', '-', 'g'), '-')[1:32], '-') END AS slug FROM documents""",
+    r"""SELECT doc_id, CASE WHEN rtrim(ltrim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', '-', 'g'), '-')[1:32], '-') = '' THEN 'entry'
+ELSE rtrim(ltrim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', '-', 'g'), '-')[1:32], '-') END AS slug FROM documents""",
 )
 def slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.left("text", F.lit(50))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug("text").alias("slug"))
