@@ -21,7 +21,9 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-MEMO = 400_000  # pieces remembered in a worker
+MEMO = 200_000  # words remembered in a worker
+PIECE_MEMO = 50_000  # and pieces of words, which only new words ask for
+ROWS = 500  # of a batch that a worker sends back at a time
 LONG_PIECE = 60  # longer ones are rare and are not remembered
 
 
@@ -104,7 +106,7 @@ class Encoder(dict):
         if found is None:
             found = np.array(merge_piece(piece.encode(), self.vocabulary), np.int32).tobytes()
             if len(piece) <= LONG_PIECE:
-                if len(self.pieces) >= self.most:
+                if len(self.pieces) >= PIECE_MEMO:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
@@ -134,6 +136,12 @@ class Encoder(dict):
         return b"".join([*out, self.plain(text[last:])])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            yield batch.slice(i, ROWS)
+
+
 _ENCODERS: dict[str, Encoder] = {}  # one memo a worker process and vocabulary, kept from task to task
 
 
@@ -149,7 +157,7 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(shared.value)
         encode = _ENCODERS[path].encode
-        for batch in batches:
+        for batch in _parts(batches):
             packed = [encode(t.as_py() or "") for t in batch.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -172,7 +180,7 @@ def decode_ids(tokens: DataFrame, path: str, ids: str = "ids", text: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = shared.value
-        for batch in batches:
+        for batch in _parts(batches):
             rows = (r.values.to_numpy(zero_copy_only=False) if r.is_valid else np.zeros(0, int) for r in batch.column(at))
             kept = (r[(r >= 0) & (r < len(strings))].astype(int).tolist() for r in rows)
             texts = [b"".join(map(strings.__getitem__, r)).decode("utf-8", "replace") for r in kept]
