@@ -21,8 +21,8 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-MEMO = 200_000  # words remembered in a worker
-PIECE_MEMO = 50_000  # and pieces of words, which only new words ask for
+MEMO = 250_000  # words remembered in a worker
+PIECE_MEMO = 120_000  # and pieces of words, which only new words ask for
 ROWS = 500  # of a batch that a worker sends back at a time
 LONG_PIECE = 60  # longer ones are rare and are not remembered
 
