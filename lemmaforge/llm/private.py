@@ -1,10 +1,10 @@
 """Personal data, and the terms that reveal it.
 
-Addresses, numbers and the like are found by patterns. Around each of them stand words; how much a word tells of the
+Addresses, numbers and the like are found by patterns. In their documents stand words; how much a word tells of the
 entity is their pointwise mutual information over the corpus, as a share of the information of the entity itself.
-A word that in several different surroundings stands by an entity and tells more than the threshold is generalised
-or removed in the documents that hold the entity. Only DataFrame expressions are used: counts are grouped sums,
-and texts move only where a document holds a revealing term.
+Counts are smoothed by a confidence bound, so that rare entities are judged too. A word that tells more than the
+threshold is generalised or removed in the documents that hold the entity. Only DataFrame expressions are used:
+counts are grouped sums, and texts move only where a document holds a revealing term.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ PATTERNS = {
 }
 _PART = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 WORD = r"[\p{L}\p{N}]++"
-AROUND = 64  # characters on each side of an entity that count as its surroundings
-LEAST_CONTEXTS = 3
+SURE = 1.645  # standard deviations: what a term tells is so surely at least that much (95 %)
 DISCLOSURE = 0.8  # share of the entity's information a term may tell
 REMOVE = 0.95  # beyond it a term goes, below it is generalised
 BLOCK = 256
@@ -94,57 +93,69 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_key": F.xxhash64("text"), **{f"_{k}": base_places(F.col("text"), k) for k in KINDS}})
 
 
+def text_terms(text: Column) -> Column:
+    """The distinct words of a text that may be terms, outside addresses; other entities hold no letters."""
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.rlike(w, F.lit("[0-9]")))
+
+
 def word_frequencies(docs: DataFrame) -> DataFrame:
-    """`term` and in how many documents it stands, over all words of all documents."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))
-    return docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("c_t"))
+    """`term` and in how many documents it stands, over all terms of all documents."""
+    return docs.select(F.explode(text_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
 
 
-def revealing_terms(based: DataFrame, frequencies: DataFrame, documents: int, least: int = LEAST_CONTEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(`doc_id`, `_key`, `entity`) of every entity, and (`entity`, `term`, `told`) of the terms that reveal one.
+def surely(hits: Column, of: Column) -> Column:
+    """Lower end of the confidence interval of a share (Wilson): few cases prove little, however pure they are."""
+    share, square = hits / of, SURE * SURE
+    spread = SURE * F.sqrt(share * (1 - share) / of + square / (4 * of * of))
+    return (share + square / (2 * of) - spread) / (1 + square / of)
 
-    Surroundings that are equal count once, so copies of a document tell nothing more.
-    """
-    def entities(kind: str) -> Column:
-        def one(p: Column) -> Column:
-            value = p["value"]
-            own = F.lower(value) if kind == "email" else digits(value) if kind in ("card", "phone") else value
-            return F.struct(F.concat(F.lit(f"{kind}:"), own).alias("entity"), p["start"].alias("start"), p["end"].alias("end"))
 
-        return F.transform(f"_{kind}", one)
+def entity_texts(based: DataFrame) -> DataFrame:
+    """`doc_id`, `_key`, the distinct `entities` and the distinct `words` of every document that holds an entity."""
+    def entities(kind: str) -> Column:
+        value = lambda p: F.lower(p["value"]) if kind == "email" else digits(p["value"]) if kind in ("card", "phone") else p["value"]
+        return F.transform(f"_{kind}", lambda p: F.concat(F.lit(f"{kind}:"), value(p)))
 
     some = based.where(" + ".join(f"size(_{k})" for k in KINDS) + " > 0")
-    each = some.select("doc_id", "_key", "text", F.explode(F.concat(*map(entities, KINDS))).alias("e"))
-    start, end = F.col("e.start"), F.col("e.end")
-    # one more character on the far side shows whether the outermost word is whole; if not it goes
-    left = F.expr(f"substring(text, greatest(1, e.start - {AROUND}), least(e.start, {AROUND} + 1))")
-    left = F.when(start > AROUND, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.regexp_replace(F.substr("text", end + 1, F.lit(AROUND + 1)), r"[\p{L}\p{N}]+$", "")
-    right = F.when(end + AROUND < F.length("text"), right).otherwise(F.substr("text", end + 1, F.lit(AROUND + 1)))
-    around = F.lower(F.concat(left, F.lit(" "), right))
-    words = F.array_distinct(F.split(around, r"[^\p{L}\p{N}]+"))
-    words = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.rlike(w, F.lit("[0-9]")))
-    seen = cut_lineage(each.select("doc_id", "_key", F.col("e.entity").alias("entity"), F.xxhash64(around).alias("context"), words.alias("words")))
-    contexts = seen.groupBy("entity", "context").agg(F.first("words").alias("words"))
-    of = contexts.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= least)
-    pairs = contexts.join(of, "entity").select("entity", "c_e", F.explode("words").alias("term"))
-    pairs = cut_lineage(pairs.groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= least))
-    # the rows of a frequent word are few here: one for each entity it stands by
-    told = pairs.join(frequencies, "term").withColumn("c_t", F.greatest("c_t", "c_et"))
+    return some.select("doc_id", "_key", F.array_distinct(F.concat(*map(entities, KINDS))).alias("entities"), text_terms(F.col("text")).alias("words"))
+
+
+def revealing_terms(seen: DataFrame, frequencies: DataFrame, documents: int, disclosure: float = DISCLOSURE) -> DataFrame:
+    """`_key`, `term` and `told`: the terms that reveal an entity of the text, with the most they tell of one.
+
+    Every entity and every term of its texts is judged. Equal texts count once, so copies tell nothing more. Entities
+    that stand in the same texts are told by the same terms and are scored once, so that lists of them cost no square.
+    """
+    texts = cut_lineage(seen.select("_key", "entities", "words").dropDuplicates(["_key"]))
     n = F.lit(float(max(2, documents)))
-    information = F.log(n / F.least(F.col("c_e"), n - 1))
-    share = F.log(n * F.col("c_et") / (F.col("c_e") * F.col("c_t"))) / information
-    told = cut_lineage(told.select("entity", "term", share.alias("told")).where(F.col("told") >= disclosure))
-    return seen.select("doc_id", "_key", "entity").distinct(), told
+    # more frequent terms cannot tell enough of an entity in c_e texts, even if they stand in all of these
+    most = lambda c_e: F.pow(c_e, F.lit(disclosure)) * F.pow(n, F.lit(1 - disclosure)) * 1.0001
+    each = texts.select("_key", F.explode("entities").alias("entity"))
+    same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("_key")), F.bit_xor(F.xxhash64("_key", F.lit(1)))).alias("same")
+    of = cut_lineage(each.groupBy("entity").agg(F.count("*").alias("c_e"), same))
+    held = cut_lineage(each.join(of, "entity").select("_key", "same", "c_e").distinct())
+    top = held.agg(F.max("c_e")).first()[0] or 1
+    reach = held.groupBy("_key").agg(F.max("c_e").alias("_top"))
+    rare = texts.select("_key", F.explode("words").alias("term")).join(frequencies.where(F.col("c_t") <= most(F.lit(top))), "term")
+    rare = cut_lineage(rare.join(reach, "_key").where(F.col("c_t") <= most(F.col("_top"))).select("_key", "term", "c_t"))
+    pairs = held.join(rare, "_key").where(F.col("c_t") <= most(F.col("c_e")))
+    pairs = pairs.groupBy("same", "c_e", "term", "c_t").agg(F.count("*").alias("c_et"))
+    c_e, c_t = F.least(F.col("c_e"), n - 1), F.greatest("c_t", "c_et")
+    share = F.log(surely(F.col("c_et"), c_t) * n / c_e) / F.log(n / c_e)
+    told = cut_lineage(pairs.select("same", "term", share.alias("told")).where(F.col("told") >= disclosure))
+    # only the texts that hold the term, which an entity of several texts need not do in each
+    return held.join(told, "same").join(rare.select("_key", "term"), ["_key", "term"]).groupBy("_key", "term").agg(F.max("told").alias("told"))
 
 
 def term_places(docs: DataFrame, based: DataFrame) -> DataFrame:
     """`doc_id`, `_key` and `terms` (places with `told`) of the documents that hold revealing terms."""
-    entities, told = revealing_terms(based, cut_lineage(word_frequencies(docs)), docs.count())
-    # a term that reveals several entities of a document counts as the most it tells
-    by_term = entities.join(told, "entity").groupBy("doc_id", "_key", "term").agg(F.max("told").alias("told"))
-    listed = by_term.groupBy("doc_id", "_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("_told"))
-    listed = cut_lineage(listed)
+    seen = cut_lineage(entity_texts(based))
+    by_term = revealing_terms(seen, cut_lineage(word_frequencies(docs)), docs.count())
+    by_text = cut_lineage(by_term.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("_told")))
+    listed = cut_lineage(seen.select("doc_id", "_key").distinct().join(by_text, "_key"))
     held = based.join(listed.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_told"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
     held = held.select("doc_id", "_key", "text", "_told", F.concat(*(f"_{k}" for k in KINDS)).alias("_base")).dropDuplicates(["doc_id", "_key"])
     words = F.filter(places(F.col("text"), WORD), lambda w: F.map_contains_key("_told", F.lower(w["value"])))

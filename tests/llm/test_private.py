@@ -98,3 +98,18 @@ def test_sanitised_texts(spark):
     assert sorted(r[1] for r in got if r[0] == 2002) == ["[PHONE]", "clean"]
     assert all("Zorro" not in (r[1] or "") and "@" not in (r[1] or "") for r in got)
     assert by[1][1] == rows[1][1]
+
+
+def term_spans(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: re.findall(r"term:(\d+):(\d+)", r.spans) for r in private_report(df).collect()}
+    return {doc: {text[int(a) : int(b)] for a, b in found[doc]} for doc, text in rows}
+
+
+def test_terms_of_rare_entities_anywhere(spark):
+    rows = revealing_corpus()
+    far = "".join(f" {text}" for _, text in rows[1:3])  # several hundred characters, without a term of its own
+    rows += [(2000, f"Quibble{far} q@x.org"), (2001, f"q@x.org writes{far} again Quibble"), (2002, f"lists{far} a@l.org b@l.org")]
+    found = term_spans(spark, rows)
+    assert found[2000] == found[2001] == {"Quibble"}
+    assert found[0] == {"Zorro"} and found[2002] == set()
