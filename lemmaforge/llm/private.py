@@ -31,7 +31,7 @@ BLOCK = 256
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "gone": ""}
 
 
-def places(text: Column, pattern: str) -> Column:
+def places(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches: `start`, `end` (code points, end exclusive) and `value`.
 
     Starts are sums of what stands before, block after block, so that many matches cost no square.
@@ -101,9 +101,14 @@ def text_terms(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.rlike(w, F.lit("[0-9]")))
 
 
-def word_frequencies(docs: DataFrame) -> DataFrame:
-    """`term` and in how many documents it stands, over all terms of all documents."""
-    return docs.select(F.explode(text_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+def word_frequencies(based: DataFrame, copied: DataFrame) -> DataFrame:
+    """`term` and in how many distinct texts it stands; `copied` has `_key` and `_rows` of the texts of several rows.
+
+    Each of n equal rows counts one n-th, so that texts need not meet to count once.
+    """
+    weighed = based.select("_key", "text").join(copied, "_key", "left")
+    each = weighed.select(F.explode(text_terms(F.col("text"))).alias("term"), F.coalesce(1 / F.col("_rows"), F.lit(1.0)).alias("_part"))
+    return each.groupBy("term").agg(F.round(F.sum("_part")).cast("bigint").alias("c_t"))
 
 
 def surely(hits: Column, of: Column) -> Column:
@@ -123,14 +128,14 @@ def entity_texts(based: DataFrame) -> DataFrame:
     return some.select("doc_id", "_key", F.array_distinct(F.concat(*map(entities, KINDS))).alias("entities"), text_terms(F.col("text")).alias("words"))
 
 
-def revealing_terms(seen: DataFrame, frequencies: DataFrame, documents: int, disclosure: float = DISCLOSURE) -> DataFrame:
+def revealing_terms(seen: DataFrame, frequencies: DataFrame, n_texts: int, disclosure: float = DISCLOSURE) -> DataFrame:
     """`_key`, `term` and `told`: the terms that reveal an entity of the text, with the most they tell of one.
 
-    Every entity and every term of its texts is judged. Equal texts count once, so copies tell nothing more. Entities
+    Every entity and every term of its texts is judged. All four counts are of distinct texts, so copies change nothing. Entities
     that stand in the same texts are told by the same terms and are scored once, so that lists of them cost no square.
     """
     texts = cut_lineage(seen.select("_key", "entities", "words").dropDuplicates(["_key"]))
-    n = F.lit(float(max(2, documents)))
+    n = F.lit(float(max(2, n_texts)))
     # more frequent terms cannot tell enough of an entity in c_e texts, even if they stand in all of these
     most = lambda c_e: F.pow(c_e, F.lit(disclosure)) * F.pow(n, F.lit(1 - disclosure)) * 1.0001
     each = texts.select("_key", F.explode("entities").alias("entity"))
@@ -150,18 +155,24 @@ def revealing_terms(seen: DataFrame, frequencies: DataFrame, documents: int, dis
     return held.join(told, "same").join(rare.select("_key", "term"), ["_key", "term"]).groupBy("_key", "term").agg(F.max("told").alias("told"))
 
 
-def term_places(docs: DataFrame, based: DataFrame) -> DataFrame:
+def term_places(based: DataFrame) -> DataFrame:
     """`doc_id`, `_key` and `terms` (places with `told`) of the documents that hold revealing terms."""
     seen = cut_lineage(entity_texts(based))
-    by_term = revealing_terms(seen, cut_lineage(word_frequencies(docs)), docs.count())
+    rows = cut_lineage(based.groupBy("_key").agg(F.count("*").alias("_rows")))
+    by_term = revealing_terms(seen, cut_lineage(word_frequencies(based, rows.where("_rows > 1"))), rows.count())
     by_text = cut_lineage(by_term.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("_told")))
     listed = cut_lineage(seen.select("doc_id", "_key").distinct().join(by_text, "_key"))
-    held = based.join(listed.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_told"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-    held = held.select("doc_id", "_key", "text", "_told", F.concat(*(f"_{k}" for k in KINDS)).alias("_base")).dropDuplicates(["doc_id", "_key"])
-    words = F.filter(places(F.col("text"), WORD), lambda w: F.map_contains_key("_told", F.lower(w["value"])))
+    # only documents with an entity are listed, so no other text moves
+    some = based.where(" + ".join(f"size(_{k})" for k in KINDS) + " > 0")
+    held = some.join(listed.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_told"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    held = held.select("doc_id", "_key", "text", "_told", F.concat(*(f"_{k}" for k in KINDS)).alias("_base"), F.lower("text").alias("_low"))
+    own = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("_told"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    # places in the lower text are those in the text, unless a letter became two
+    slow = F.filter(places(F.col("text"), WORD), lambda w: F.map_contains_key("_told", F.lower(w["value"])))
+    words = F.when(F.length("_low") == F.length("text"), places(F.col("_low"), own)).otherwise(slow)
     free = F.filter(words, lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     marked = F.transform(free, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.col("_told")[F.lower(w["value"])].alias("told")))
-    return held.select("doc_id", "_key", marked.alias("terms")).where("size(terms) > 0")
+    return held.select("doc_id", "_key", marked.alias("terms")).where("size(terms) > 0").dropDuplicates(["doc_id", "_key"])
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -171,7 +182,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     of `docs` with these names are replaced.
     """
     based = with_base(docs.drop(*KINDS, "terms", "_key", "_terms"))
-    terms = cut_lineage(term_places(docs.select("doc_id", "text"), based.select("doc_id", "_key", "text", *(f"_{k}" for k in KINDS))))
+    terms = cut_lineage(term_places(based.select("doc_id", "_key", "text", *(f"_{k}" for k in KINDS))))
     named = terms.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("terms").alias("_terms"))
     out = based.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_d", "_k", "_key")
     none = F.expr("cast(array() as array<struct<start: int, end: int, told: double>>)")

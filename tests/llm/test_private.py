@@ -113,3 +113,13 @@ def test_terms_of_rare_entities_anywhere(spark):
     found = term_spans(spark, rows)
     assert found[2000] == found[2001] == {"Quibble"}
     assert found[0] == {"Zorro"} and found[2002] == set()
+    found = term_spans(spark, [*rows[:-2], (2001, rows[-2][1] + " QUIBBLE \u0130x")])
+    assert found[2000] == {"Quibble"} and found[2001] == {"Quibble", "QUIBBLE"}
+
+
+def test_copies_hide_no_term(spark):
+    rows = revealing_corpus()
+    plain_found = term_spans(spark, rows)
+    found = term_spans(spark, rows + [(3000 + i, rows[30][1]) for i in range(400)])
+    assert plain_found[30] == {"Zorro"} and all(found[d] == {"Zorro"} for d in (0, 30, 3000, 3399))
+    assert {d: f for d, f in found.items() if d < 3000} == plain_found
