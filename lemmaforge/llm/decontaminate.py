@@ -11,6 +11,7 @@ Items go to the tasks in blocks of a bounded number of windows, one narrow pass
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -19,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from lemmaforge.llm.words import alnum_words, sha256_hex
+from lemmaforge.session import cut_lineage
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000  # windows broadcast at a time: at most some 30 MB
@@ -292,31 +295,86 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """`docs` with the leaked spans cut out of `text`, and `n_chars` counted anew; all other columns as they were.
 
-    A document of nothing but leaked words keeps its row with what is left between them.
+    The spans of all blocks are found in the untouched text and cut at once. Where cut ends meet, new windows may
+    form, so texts that were cut are searched again until nothing is hit. A document of nothing but leaked words
+    keeps its row with what is left between them.
     """
-    out = docs
-    for block in item_blocks(items, "item_id", "text", width, block_windows):
-        out = out.mapInArrow(_cutter(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
-    return out
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, "item_id", "text", width, block_windows)]
+    if len(shared) == 1:
+        return docs.mapInArrow(_cutter(shared[0]), docs.schema)
+    marked = StructType([*docs.schema, StructField("_spans", _SPANS)])
+    cut = StructType([*docs.schema, StructField("_again", BooleanType())])
+    done, left = [], docs
+    while not done or left.take(1):
+        out = left.withColumn("_spans", F.array().cast(_SPANS))
+        for block in shared:
+            out = out.mapInArrow(_marker(block), marked)
+        out = cut_lineage(out.mapInArrow(_cut_marked, cut))
+        done.append(out.where("not _again").select(*docs.columns))
+        left = out.where("_again").select(*docs.columns)
+    return functools.reduce(DataFrame.union, done)
+
+
+_SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+
+
+def _with_texts(batch: pa.RecordBatch, texts: list[str | None], changed: list[bool]) -> list[pa.Array]:
+    """The columns of the batch with other texts, and `n_chars` of those that changed."""
+    columns = []
+    for name, column in zip(batch.schema.names, batch.columns):
+        if name == "text":
+            column = pa.array(texts, column.type)
+        elif name == "n_chars":
+            sizes = [len(t) if c else n for t, c, n in zip(texts, changed, column.to_pylist())]
+            column = pa.array(sizes, column.type)
+        columns.append(column)
+    return columns
+
+
+def _marker(shared):
+    """Adds the spans a block hits to `_spans`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        groups = block.grouped()
+        for batch in batches:
+            _, spans, _ = shard_hits(batch.column("text").to_pylist(), block, groups)
+            before = batch.column("_spans").to_pylist()
+            merged = [merge_spans([(s["start"], s["end"]) for s in old] + new) for old, new in zip(before, spans)]
+            merged = pa.array([[{"start": a, "end": b} for a, b in s] for s in merged], batch.column("_spans").type)
+            at = batch.schema.get_field_index("_spans")
+            yield pa.RecordBatch.from_arrays([merged if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return run
+
+
+def _cut_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts `_spans`; `_again` tells whether there were any."""
+    for batch in batches:
+        spans = [[(s["start"], s["end"]) for s in each] for each in batch.column("_spans").to_pylist()]
+        again = [bool(s) for s in spans]
+        texts = [cut_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
+        at = batch.schema.get_field_index("_spans")
+        columns = _with_texts(batch, texts, again)
+        columns[at] = pa.array(again, pa.bool_())
+        yield pa.RecordBatch.from_arrays(columns, names=["_again" if i == at else n for i, n in enumerate(batch.schema.names)])
 
 
 def _cutter(shared):
+    """Cuts what the only block hits until it hits nothing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         groups = block.grouped()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            _, spans, _ = shard_hits(texts, block, groups)
-            texts = [cut_spans(t, s) if s else t for t, s in zip(texts, spans)]
-            columns = []
-            for name in batch.schema.names:
-                column = batch.column(name)
-                if name == "text":
-                    column = pa.array(texts, column.type)
-                elif name == "n_chars":
-                    sizes = [len(t) if s else n for t, s, n in zip(texts, spans, column.to_pylist())]
-                    column = pa.array(sizes, column.type)
-                columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            changed, left = [False] * len(texts), list(range(len(texts)))
+            while left:
+                _, spans, _ = shard_hits([texts[i] for i in left], block, groups)
+                cut = [(i, s) for i, s in zip(left, spans) if s]
+                for i, s in cut:
+                    texts[i], changed[i] = cut_spans(texts[i], s), True
+                left = [i for i, _ in cut]
+            yield pa.RecordBatch.from_arrays(_with_texts(batch, texts, changed), names=batch.schema.names)
 
     return run

@@ -78,3 +78,18 @@ def test_removal_keeps_the_rest(spark):
     b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     got = {r.doc_id: (r.text, r.lang, r.n_chars) for r in remove_leaks(d, b).collect()}
     assert got == {1: ("Before, ! After.", "en", 16), 2: ("clean", "en", 5), 3: (None, None, None), 4: ("", "fr", 0)}
+
+
+def test_removal_leaves_no_window_with_any_blocks(spark):
+    items = [(1, "a b c d e"), (2, "d e f g h"), (3, "p q r s"), (4, "x y")]
+    texts = ["n a b c d e f g h m", "k p q a b c d e r s l", "p p x y q r s q r s", "clean text", None, "x p q x y r s y"]
+    rng = random.Random(5)
+    texts += [" ".join(rng.choices("abcdepqrsxyz", k=rng.randint(1, 200))) for _ in range(60)]
+    d = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {r.doc_id: (r.text, r.n_chars) for r in remove_leaks(d, b, width=3).collect()}
+    small = {r.doc_id: (r.text, r.n_chars) for r in remove_leaks(d, b, width=3, block_windows=2).collect()}
+    assert whole == small and len(small) == len(texts)
+    assert words(small[0][0]) == ["n", "m"] and words(small[1][0]) == ["k", "l"]
+    assert small[3] == ("clean text", -1) and small[4] == (None, -1)
+    assert not any(p[5] for p in plain([(i, t) for i, (t, _) in small.items()], items, 3))
