@@ -1,8 +1,8 @@
 """HTML extraction: what recurs on many pages of a host is its template; the article without it is the text.
 
 Two narrow passes over the pages. The first hashes element subtrees and counts them per host in Spark, partial
-counts first. A subtree on at least a fifth of a host's pages is template, so a host keeps a bounded list of
-hashes. That small table is written; the planner broadcasts it if its size allows and else joins by host. The
+counts first. A block-level subtree on at least a fifth of a host's distinct pages is template, so a host keeps a
+bounded list of hashes; what holds prose in the main content is spared. That small table is written; the planner broadcasts it if its size allows and else joins by host. The
 second pass deletes those subtrees and page furniture and writes out the blocks of the article.
 """
 
@@ -161,6 +161,40 @@ class Page:
             self.heading[i] = self.heading[i] or self.tags[i] in HEADINGS
             self.prose[up] = self.prose[up] or self.prose[i]
             self.heading[up] = self.heading[up] or self.heading[i]
+        if self.whole:
+            self._main()
+
+    def _main(self) -> None:
+        """The main content of a page without roots: the innermost element that holds most of the text in prose tags
+        outside links and furniture. There, lists of nothing but links are not prose."""
+        n = len(self.tags)
+        linked, off, told, size = [False] * n, [False] * n, [False] * n, [0] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            linked[i] = linked[up] or self.tags[i] == "a"
+            off[i] = off[up] or self.is_furniture(i)
+            told[i] = told[up] or self.tags[i] in PROSE
+        for i, text in self.flow:
+            if text and told[i] and not linked[i] and not off[i]:
+                size[i] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        main = 0
+        for i in range(1, n):
+            # children come after their parents, so this walks down
+            if self.parent[i] == main and self.tags[i] not in PROSE and 2 * size[i] > size[0]:
+                main = i
+        self.prose = [told[i] and size[i] > 0 for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            self.prose[self.parent[i]] = self.prose[self.parent[i]] or self.prose[i]
+        self.main = [False] * n
+        self.main[main] = True
+        for i in range(main + 1, n):
+            self.main[i] = self.main[self.parent[i]]
+        at = main
+        while at >= 0:
+            self.main[at] = True
+            at = self.parent[at]
 
     def _named(self, i: int) -> bool:
         return bool(self.names[i]) and _is_named(self.names[i])
@@ -173,10 +207,17 @@ class Page:
         return kind == "drop" or kind == "header" and not (self.inside[i] and self.heading[i])
 
     def hashes(self) -> list[int]:
-        """For each element the hash of its subtree, 0 where it cannot be template: roots, what holds them, and
-        what holds prose inside them, because an article may quote what other articles say."""
+        """For each element the hash of its subtree, 0 where it cannot be template: roots, what holds them, inline
+        elements, and what holds prose or stands in it in the main content, because an article may quote what other
+        articles say."""
         n = len(self.tags)
-        wanted = [i > 0 and not self.above[i] and self.tags[i] not in ("html", "body") and not (self.inside[i] and self.prose[i]) for i in range(n)]
+        main = self.main if self.whole else self.inside
+        wanted = [i > 0 and not self.above[i] and self.tags[i] not in ("html", "body") and not (main[i] and self.prose[i]) for i in range(n)]
+        block = [t in BLOCKS or t in PROSE for t in self.tags]
+        for i in range(1, n):
+            # what stands in a paragraph of the main content is a part of it
+            up = self.parent[i]
+            block[i] = block[i] and not (main[i] and self.tags[up] in PROSE and self.prose[up] and not wanted[up])
         parts: list[list[bytes]] = [[] for _ in range(n)]
         for i, text in self.flow:
             if text and wanted[i]:
@@ -188,7 +229,7 @@ class Page:
                 out[i] = xxhash.xxh3_64_intdigest(held) >> 1 or 1
                 if wanted[self.parent[i]]:
                     parts[self.parent[i]].append(out[i].to_bytes(8, "big"))
-        return out
+        return [h if b else 0 for h, b in zip(out, block)]
 
     def text(self, template: frozenset[int]) -> str:
         """Blocks of the content roots without furniture and without subtrees whose hash is in `template`."""
@@ -210,21 +251,33 @@ class Page:
 def template_hashes(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """Per host, the hashes of element subtrees on at least `least_pages` pages and `least_share` of them.
 
-    Reads `_host` and `html`. A page counts a hash once.
+    Reads `_host` and `html`. A page counts a hash once, and equal pages of a host count once for its share: each of
+    n counts one n-th. Blocks in an article need `least_pages` distinct pages, or all where a host has fewer; pages
+    without an article always need that many.
     """
+    keyed = pages.select("_host", "html", F.xxhash64("html").alias("_page"))
+    rows = cut_lineage(keyed.groupBy("_host", "_page").agg(F.count("*").alias("_rows")))
+    copied = rows.where("_rows > 1")
+    total = rows.groupBy("_host").agg(F.count("*").alias("_pages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # the hash 0 stands for the page itself
-            found = [sorted({0, *Page(t.as_py() or "").hashes()}) for t in batch.column(1)]
-            hosts = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            read = [Page(t.as_py() or "") for t in batch.column(1)]
+            found = [sorted({*p.hashes()} - {0}) for p in read]
+            sizes = [len(f) for f in found]
+            whole = pa.array(np.repeat(np.array([p.whole for p in read], bool), sizes))
+            at = pa.array(np.repeat(np.arange(len(found)), sizes))
             flat = pa.array([h for f in found for h in f], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hosts)), flat], names=["_host", "_hash"])
-
-    seen = pages.select("_host", "html").mapInArrow(run, "_host string, _hash bigint")
-    counts = cut_lineage(seen.groupBy("_host", "_hash").count().where((F.col("_hash") == 0) | (F.col("count") >= least_pages)))
-    total = counts.where("_hash = 0").select("_host", F.col("count").alias("_pages"))
-    many = counts.where("_hash <> 0").join(total, "_host").where(F.col("count") >= least_share * F.col("_pages"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), flat, batch.column(2).take(at), whole], names=["_host", "_hash", "_part", "_whole"]
+            )
+
+    weighed = keyed.join(copied, ["_host", "_page"], "left").select("_host", "html", F.coalesce(1 / F.col("_rows"), F.lit(1.0)).alias("_part"))
+    seen = weighed.mapInArrow(run, "_host string, _hash bigint, _part double, _whole boolean")
+    counts = seen.groupBy("_host", "_hash").agg(F.count("*").alias("count"), F.round(F.sum("_part"), 3).alias("_distinct"), F.bool_or("_whole").alias("_whole"))
+    counts = cut_lineage(counts.where(F.col("count") >= least_pages))
+    least = F.when(F.col("_whole"), least_pages).otherwise(F.least(F.lit(least_pages), F.col("_pages")))
+    many = counts.join(total, "_host").where((F.col("_distinct") >= least) & (F.col("_distinct") >= least_share * F.col("_pages")))
     return many.groupBy("_host").agg(F.collect_list("_hash").alias("_template"))
 
 
@@ -232,7 +285,7 @@ def extract_articles(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sha
     """One row per page: `page_id`, `url` and `text`, the article's blocks parted by an empty line.
 
     The article is every `article` element, else `main`, else the body. Null and empty pages give an empty text;
-    repeated rows each get their row and count as pages; null URLs share the host ''. Other columns are not read.
+    repeated rows each get their row and count as one page; null URLs share the host ''. Other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^.*?://([^/?#]*)", 1)), F.lit(""))
     picked = pages.select("page_id", "url", "html", host.alias("_host"))

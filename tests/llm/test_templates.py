@@ -40,3 +40,23 @@ def test_template_of_a_host(spark):
     want += [(200 + i, "shared") for i in range(8)]
     assert got == sorted(want, key=repr)
     assert extract_articles(df.limit(0)).count() == 0
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r.text for r in extract_articles(df.repartition(3)).orderBy("page_id").collect()]
+
+
+def test_copies_and_recurring_passages_stay(spark):
+    said = "<p>a passage that many pages quote</p>"
+    menu = "<ul><li><a href=/>Home</a><li><a href=/x>News</a></ul><div>(c) us</div>"
+    pages = [f"<h1>t{i}</h1>{menu}<div><p>own text of page {i}</p>{said if i % 3 == 0 else ''}</div>" for i in range(20)]
+    copy = f"<h1>copied</h1>{menu}<div>bare text</div><div><p>of five copies</p></div>"
+    got = texts_of(spark, pages + [copy] * 5)
+    want = [f"t{i}\n\nown text of page {i}" + ("\n\na passage that many pages quote" if i % 3 == 0 else "") for i in range(20)]
+    assert got == want + ["copied\n\nbare text\n\nof five copies"] * 5
+
+
+def test_inline_phrases_of_an_article_stay(spark):
+    pages = [f"<article><p><b>As we said</b> in {i}, <a>see here</a> <em>now</em>.</p><div><span>bare</span> {i}</div><div>share it</div></article>" for i in range(10)]
+    assert texts_of(spark, pages) == [f"As we said in {i}, see here now.\n\nbare {i}" for i in range(10)]
