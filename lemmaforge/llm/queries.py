@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaforge.llm import bpe, decontaminate, jaccard, near_vectors, private, quality, templates, toxicity, urls, warc
+from lemmaforge.llm import bpe, context_tree, decontaminate, jaccard, near_vectors, private, quality, templates, toxicity, urls, warc
 from lemmaforge.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -140,3 +140,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_private_data")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.private_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_context_tree")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_texts(table(spark, sf_dir, "documents"))
