@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaforge.llm import bpe, context_tree, decontaminate, jaccard, near_vectors, private, quality, templates, toxicity, urls, warc
+from lemmaforge.llm import bpe, centroids, collocations, context_tree, decontaminate, jaccard, near_vectors, private, quality, templates, toxicity, urls, warc
 from lemmaforge.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -145,3 +145,85 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_context_tree")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
+OP11 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d
+), w AS (
+  SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), g AS (
+  SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4, 5],
+    lambda k: list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))))) AS g
+  FROM w
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 100
+), part AS (
+  SELECT lang, f, unnest(flatten(list_transform(range(2, len(g)),
+    lambda k: list_transform(range(1, len(g) - k + 2), lambda i: list_slice(g, i, i + k - 1))))) AS g
+  FROM f WHERE len(g) > 2
+), most AS (
+  SELECT lang, g, max(f) AS most FROM part GROUP BY lang, g
+), kept AS (
+  SELECT f.lang, f.g, f.f AS a FROM f LEFT JOIN most m ON m.lang = f.lang AND m.g = f.g
+  WHERE len(f.g) > 1 AND (m.most IS NULL OR 100 * m.most < 100 * f.f)
+), cut AS (
+  SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM kept
+), scored AS (
+  SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cut c JOIN total t ON t.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, c.k)
+  JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, c.k + 1, len(c.g))
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+  array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _rounds(rounds: int) -> str:
+    """Assignments and new centroids in turn, each a step of its own."""
+    nearest = """a{i} AS MATERIALIZED (
+  SELECT vec_id, e, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT v.vec_id, v.e, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM v, c{i} c) GROUP BY vec_id, e
+)"""
+    moved = """s{i} AS (
+  SELECT k, place, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY k, place
+), m{i} AS (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY place) AS e FROM s{i} GROUP BY k
+), c{next} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m ON m.k = c.k
+)"""
+    steps = [f"{nearest},\n{moved}".format(i=i, next=i + 1) for i in range(rounds)]
+    return ",\n".join([*steps, nearest.format(i=rounds)])
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, e FROM v ORDER BY k LIMIT 8
+), {_rounds(centroids.ROUNDS)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN c{centroids.ROUNDS} c USING (k)
+"""
+
+
+@query("op13_centroid_clustering", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
