@@ -35,8 +35,8 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`doc_id`, `lang`, `source`, `n_tokens`, `ids`, and `text` as decoded from them."""
     path = tokenizer_path()
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("key"), "text")
-    tokens = bpe.decode_ids(bpe.encode_texts(keyed, path, doc_id="key"), path, text="text")
-    return tokens.select("key.*", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "text")
+    tokens = bpe.round_trip(keyed, path, doc_id="key")
+    return tokens.select("key.*", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [
