@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,6 +171,29 @@ def gram_blocks(raw: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarra
         yield grams[own], text[own]
 
 
+class Finder:
+    """Places of numbers among distinct `keys`, in the order `order`: by a bucket of a multiplicative hash, then onwards."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(1, len(keys)).bit_length() - 1)
+        hashes = self.bucket(keys)
+        self.order = np.argsort(hashes, kind="stable")
+        self.keys = keys[self.order]
+        self.starts = np.searchsorted(hashes[self.order], np.arange(1 << int(64 - self.shift), dtype=np.uint64))
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """All `wanted` are among the keys."""
+        at = self.starts[self.bucket(wanted)]
+        wrong = np.flatnonzero(self.keys[at] != wanted)
+        while len(wrong):
+            at[wrong] += 1
+            wrong = wrong[self.keys[at[wrong]] != wanted[wrong]]
+        return at
+
+
 def slice_of(grams: np.ndarray) -> np.ndarray:
     return (mix(grams >> (8 * (DEPTH + 1 - CUT))) % np.uint64(SLICES)).astype(np.int64)
 
@@ -214,12 +238,12 @@ def _word_entries(chunk: int, known: list[bytes], other: list[bytes]) -> Iterato
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
-    """Rows of two sorts, written once: documents (`key`, `held_out`, `body`) with their `chunk`, and its entries.
+    """Rows of two sorts, written once: documents of a `chunk` (`ids`, `held_out`, packed `bodies`), and its entries.
 
     Reads `key`, `held_out` and `text` of `docs`.
     """
     key = docs.schema["key"].dataType
-    schema = f"{ENTRY}, key {key.simpleString()}, held_out boolean, body binary"
+    schema = f"{ENTRY}, ids array<{key.simpleString()}>, held_out array<boolean>, bodies binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -228,15 +252,15 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
 
         def rows(columns: dict, count: int) -> pa.RecordBatch:
             fields = {"chunk": pa.int64(), "slice": pa.int32(), "size": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
-            fields |= {"key": kind, "held_out": pa.bool_(), "body": pa.binary()}
+            fields |= {"ids": pa.list_(kind), "held_out": pa.list_(pa.bool_()), "bodies": pa.binary()}
             made = [pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in fields.items()]
             return pa.RecordBatch.from_arrays(made, names=list(fields))
 
         def closed() -> Iterator[pa.RecordBatch]:
             for at in range(0, len(held), SENT):
-                some = held[at : at + SENT]
-                columns = {"chunk": [chunk] * len(some), "key": [r[0] for r in some], "held_out": [r[1] for r in some], "body": [r[2] for r in some]}
-                yield rows(columns, len(some))
+                ids, out, bodies = zip(*held[at : at + SENT])
+                packed = pack(np.frombuffer(END.join(bodies), np.uint8))
+                yield rows({"chunk": [chunk], "ids": [ids], "held_out": [out], "bodies": [packed]}, 1)
             known, other = [r[2] for r in held if not r[1]], [r[2] for r in held if r[1]]
             for entries in (_gram_entries, _word_entries):
                 made = list(entries(chunk, known, other))
@@ -373,7 +397,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     unknown = math.log10(total + different + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left["body"].to_pylist()
+        texts = [t for b in left["bodies"].to_pylist() for t in unpack(b, np.uint8).tobytes().split(END)]
         grams, chances, counts = [], [], {}
         for number, keys, told in zip(*(right[c].to_pylist() for c in ("slice", "keys", "told"))):
             if number < SLICES:
@@ -381,23 +405,22 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 chances.append(unpack(told, np.float64))
             else:
                 counts.update(zip(unpack_words(keys), unpack(told, np.int64).tolist()))
-        keys, values = np.concatenate(grams), np.concatenate(chances)
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order] / math.log(10)
+        find = Finder(np.concatenate(grams))
+        values = np.concatenate(chances)[find.order] / math.log(10)
         out = np.zeros((5, len(texts)))
         raw, begins = byte_stream(texts)
         for found, text in gram_blocks(raw, begins):
-            out[0] += np.bincount(text, values[np.searchsorted(keys, found)], len(texts))
+            out[0] += np.bincount(text, values[find(found)], len(texts))
         for i, text in enumerate(texts):
             tokens = [*(text.split(b" ") if text else ()), END]
             c = np.fromiter(map(counts.__getitem__, tokens), np.int64, len(tokens))
             out[1:, i] = len(tokens), (c > 0).sum(), len(text) + 1, np.log10(c + 1).sum() - len(tokens) * unknown
         whole = lambda i: pa.array(out[i].astype(np.int64))
-        columns = [left["key"], left["held_out"], whole(1), whole(2), pa.array([total] * len(texts), pa.int64()), whole(3)]
+        columns = [pc.list_flatten(left["ids"]), pc.list_flatten(left["held_out"]), whole(1), whole(2), pa.array([total] * len(texts), pa.int64()), whole(3)]
         names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "n_bytes", "base_score", "score", "bits_per_byte"]
         return pa.table([*columns, pa.array(out[4]), pa.array(out[0]), pa.array(-out[0] * math.log2(10) / out[3])], names=names)
 
-    bodies = rows.where("slice is null").select("chunk", "key", "held_out", "body")
+    bodies = rows.where("slice is null").select("chunk", "ids", "held_out", "bodies")
     kind = picked.schema["key"].dataType.simpleString()
     schema = f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, n_bytes bigint"
     schema += ", base_score double, score double, bits_per_byte double"
