@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmaforge.llm.gather import CHUNK_BYTES, ENTRY, SLICES, WORDS, answer_entries, merge_entries, pack, run_starts, unpack, unpack_words
+from lemmaforge.llm.gather import ENTRY, SLICES, WORDS, answer_entries, merge_entries, pack, run_starts, unpack, unpack_words
 from lemmaforge.llm.words import mix
 from lemmaforge.session import cut_lineage
 
+CHUNK_BYTES = 6 << 20  # text of a chunk, which is passed only by a single longer document
 MOST_WORDS = 5
 LEAST = 100  # occurrences of a candidate
 TOP = 2000  # collocations of a language
