@@ -1,7 +1,8 @@
 """URL filter: rules by host and path first, then boosted trees on lexical features of the URL.
 
-Only DataFrame expressions and Spark's own learners are used. The trees are fitted on a bounded sample of labelled
-URLs; statistics of suffixes are counted over all URLs, and their block rates over all labelled ones.
+Only DataFrame expressions and Spark's own learners are used. URLs under a rule are labelled by it, others are blocked by
+a word in the host and else weakly allowed. The trees are fitted on a bounded sample of them; statistics of suffixes are
+counted over all URLs. Rates of suffixes leave the rules out: what a rule says of its own hosts is no evidence of others.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from lemmaforge.session import cut_lineage
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 # Words in a host that label its URLs for training where no rule does.
 BLOCKED_WORDS = "adult|ads|adserver|bet|casino|cheap|escort|loan|pill|pills|porn|sex|spam|track|tracker|viagra|warez|xxx"
-FIT_ROWS = 20_000  # labelled URLs that the trees are fitted on, about
+FIT_ROWS = 20_000  # labelled URLs that the trees are fitted on, about; and so many weakly allowed ones
+WEAK = 0.5  # weight of a URL that is allowed only because nothing speaks against it
 SMOOTH = 20.0  # a suffix's rate counts as if so many URLs of the mean rate had been seen too
 FEATURES = [
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_hyphens", "f_entropy",
     "f_host_entropy", "f_parameters", "f_query_length", "f_longest_label", "f_extension", "f_fragment", "f_secure", "f_ip",
-    "f_suffix_rate", "f_suffix_share", "f_site_rate", "f_site_share",
+    "f_suffix_rate", "f_site_rate",
 ]
 
 
@@ -54,8 +56,14 @@ def entropy(text: Column) -> Column:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """`urls` (with `_url`, `_host`, `_path`) and its lexical features, and the suffixes `_suffix` and `_site`."""
-    url, host, path = F.col("_url"), F.col("_host"), F.col("_path")
+    """`urls` (with `_url`, `_host`, `_path`) and its lexical features, and the suffixes `_suffix` and `_site`.
+
+    Features are of the URL without its suffix: rules go by suffixes, and theirs is no evidence of other URLs.
+    """
+    path = F.col("_path")
+    suffix = F.substring_index("_host", ".", -1)
+    host = F.regexp_replace("_host", r"\.[^.]*$", "")
+    url = F.concat(F.regexp_extract("_url", r"^[^:]*://", 0), host, F.regexp_extract("_url", r"(?s)^.*?://[^/?#]*(.*)$", 1))
     share = lambda text, pattern: F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     labels = F.split(host, r"\.")
@@ -66,34 +74,36 @@ def lexical(urls: DataFrame) -> DataFrame:
         "f_host_entropy": entropy(host), "f_parameters": F.when(query == "", 0).otherwise(1 + F.regexp_count(query, F.lit("&"))),
         "f_query_length": F.length(query), "f_longest_label": F.array_max(F.transform(labels, F.length)),
         "f_extension": F.rlike(path, F.lit(r"\.[A-Za-z0-9]{1,5}$")).cast("int"), "f_fragment": F.contains(url, F.lit("#")).cast("int"),
-        "f_secure": F.startswith(url, F.lit("https:")).cast("int"), "f_ip": F.rlike(host, F.lit(r"^[0-9.]+$")).cast("int"),
+        "f_secure": F.startswith(url, F.lit("https:")).cast("int"), "f_ip": F.rlike(F.col("_host"), F.lit(r"^[0-9.]+$")).cast("int"),
     }
     out = urls.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in real.items()})
-    return out.withColumns({"_suffix": F.substring_index(host, ".", -1), "_site": F.substring_index(host, ".", -2)})
+    return out.withColumns({"_suffix": suffix, "_site": F.substring_index("_host", ".", -2)})
 
 
 def with_statistics(urls: DataFrame) -> DataFrame:
-    """For each suffix: the share of URLs that have it, and the share blocked among its labelled ones.
+    """For each suffix and site, the share blocked among the URLs that no rule labels.
 
-    A labelled URL does not count in its own rate. Suffixes are many, so their table is written and joined; the
+    A URL does not count in its own rate. Suffixes are many, so their table is written and joined; the
     planner broadcasts it only where it is small.
     """
-    total = urls.agg(F.count("*").alias("n"), F.avg("_label").alias("mean")).first()
-    mean = total.mean if total.mean is not None else 0.5
+    free = F.when(F.col("_rule").isNull(), F.col("_label"))
+    urls = urls.withColumn("_free", free)
+    mean = urls.agg(F.avg("_free")).first()[0]
+    mean = 0.5 if mean is None else mean
     for key, name in (("_suffix", "f_suffix"), ("_site", "f_site")):
-        sums = urls.groupBy(key).agg(F.count("*").alias("_n"), F.coalesce(F.sum("_label"), F.lit(0.0)).alias("_s"), F.count("_label").alias("_m"))
+        sums = urls.groupBy(key).agg(F.coalesce(F.sum("_free"), F.lit(0.0)).alias("_s"), F.count("_free").alias("_m"))
         urls = urls.join(cut_lineage(sums), key)
-        own, seen = F.coalesce("_label", F.lit(0.0)), F.col("_label").isNotNull().cast("int")
+        own, seen = F.coalesce("_free", F.lit(0.0)), F.col("_free").isNotNull().cast("int")
         rate = (F.col("_s") - own + SMOOTH * mean) / (F.col("_m") - seen + SMOOTH)
-        urls = urls.withColumns({f"{name}_rate": rate, f"{name}_share": F.col("_n") / F.lit(max(1, total.n))}).drop("_n", "_s", "_m")
+        urls = urls.withColumn(f"{name}_rate", rate).drop("_s", "_m")
     return urls
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per page: `page_id`, `host`, `path`, `rule`, `verdict` and `block_chance` (null where a rule decides).
 
-    URLs are labelled by the rules, and else blocked by a word in the host. Where the labelled sample lacks one of
-    the two labels, URLs without a rule are allowed. Null URLs and such without `://` have no host and are judged by
+    URLs are labelled by the rules, else blocked by a word in the host, else weakly allowed. Where the sample lacks one
+    of the two labels, URLs without a rule are allowed. Null URLs and such without `://` have no host and are judged by
     their features. Repeated rows each get their row. Only `page_id` and `url` are read.
     """
     url = F.coalesce("url", F.lit(""))
@@ -102,18 +112,19 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     urls = urls.withColumns({"_rule": rule, "_verdict": verdict})
     marked = F.rlike(F.col("_host"), F.lit(rf"(^|[.-])({BLOCKED_WORDS})([.-]|$)"))
-    label = F.when(F.col("_verdict").isNotNull(), (F.col("_verdict") == "block").cast("double")).when(marked, 1.0)
-    known = with_statistics(lexical(urls.withColumn("_label", label)))
-    known = cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(known).select("page_id", "_host", "_path", "_rule", "_verdict", "_label", "_url", "_features"))
-    labelled = known.where("_label is not null")
-    count = labelled.count()
-    if count > fit_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("_url", "page_id"), F.lit(count)) < fit_rows)
-    sample = cut_lineage(labelled.select("_label", "_features"))
+    strong = F.col("_verdict").isNotNull() | marked
+    label = F.when(F.col("_verdict").isNotNull(), (F.col("_verdict") == "block").cast("double")).otherwise(marked.cast("double"))
+    urls = urls.withColumns({"_label": label, "_weight": F.when(strong, 1.0).otherwise(WEAK)})
+    known = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(with_statistics(lexical(urls)))
+    known = cut_lineage(known.select("page_id", "_host", "_path", "_rule", "_verdict", "_label", "_weight", "_url", "_features"))
+    counts = known.agg(F.count_if(F.col("_weight") == 1).alias("strong"), F.count_if(F.col("_weight") < 1).alias("weak")).first()
+    most = F.when(F.col("_weight") == 1, counts.strong or 1).otherwise(counts.weak or 1)
+    drawn = known.where((most <= fit_rows) | (F.pmod(F.xxhash64("_url", "page_id"), most) < fit_rows))
+    sample = cut_lineage(drawn.select("_label", "_weight", "_features"))
     if sample.select("_label").distinct().count() < 2:
         scored = known.withColumn("_chance", F.lit(0.0))
     else:
-        model = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=20, maxDepth=4, stepSize=0.2, seed=3).fit(sample)
+        model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=20, maxDepth=4, stepSize=0.2, seed=3).fit(sample)
         scored = model.transform(known).withColumn("_chance", vector_to_array("probability")[1])
     own = F.when(F.col("_chance") >= 0.5, "block").otherwise("allow")
     return scored.select(

@@ -45,6 +45,21 @@ def test_entropy(spark):
         assert math.isclose(spark.range(1).select(entropy(F.lit(text)).alias("e")).first().e or 0.0, want, abs_tol=1e-9)
 
 
+def test_plain_hosts_beside_a_rule_are_allowed(spark):
+    """What a rule blocks on some paths of a site says nothing of the site's other hosts."""
+    rng = random.Random(1)
+    word = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    urls = [f"http://{word(6)}.example.com/{rng.choice(['de', 'en', 'fr'])}/{word(5)}" for _ in range(300)]
+    urls += [f"http://{rng.choice(['casino', 'pills', 'adserver'])}{rng.choice(['', '-' + word(4)])}.{rng.choice(['example.com', 'shop.info'])}/en/{word(5)}" for _ in range(40)]
+    urls += [f"http://{word(5)}.net/{word(4)}" for _ in range(60)] + [f"http://{word(5)}.org/fr/{word(4)}" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = [r for r in judge_urls(df).collect() if r.rule is None]
+    plain_hosts = [r for r in got if not re.match("casino|pills|adserver", r.host)]
+    marked = [r for r in got if re.match("(casino|pills|adserver)[.-]", r.host)]
+    assert len(plain_hosts) > 150 and sum(r.verdict == "allow" for r in plain_hosts) >= 0.95 * len(plain_hosts)
+    assert len(marked) > 20 and sum(r.verdict == "block" for r in marked) >= 0.5 * len(marked)
+
+
 def test_trees_judge_unseen_urls(spark):
     rng = random.Random(0)
     word = lambda k: "".join(rng.choices("abcdefghij", k=k))
