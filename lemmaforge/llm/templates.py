@@ -48,7 +48,7 @@ HEADER_NAMES = frozenset(["header", "masthead"])
 
 _RAW = "script|style|noscript|textarea|title|iframe|xmp|noembed|noframes"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -61,9 +61,19 @@ def _is_named(names: str) -> bool:
     return any(w in FURNITURE_NAMES for w in _WORD.findall(names))
 
 
+@lru_cache(10_000)
+def _is_called(names: str) -> bool:
+    """Whether a whole class or id, not a part of one, is a name of furniture."""
+    return any(w in FURNITURE_NAMES for w in names.split())
+
+
 @lru_cache(10_000)
 def _kind(tag: str, names: str, flags: str) -> str:
-    """What a tag and its attributes call an element: drop, header or keep. An article's own header is kept."""
+    """What a tag and its attributes call an element: drop, part (only a part of a name does), header or keep.
+
+    An article's own header is kept, and so is what holds most of the prose, unless more than a part of a name speaks
+    against it.
+    """
     if tag in ("html", "body"):
         return "keep"
     if tag == "header" or any(w in HEADER_NAMES for w in _WORD.findall(names)):
@@ -71,7 +81,9 @@ def _kind(tag: str, names: str, flags: str) -> str:
     shown = flags.replace(" ", "")
     hidden = "hidden=" in shown.replace("aria-hidden=", "") or "aria-hidden=true" in shown or "display:none" in shown
     role = re.search(r"role=(\S+)", flags)
-    return "drop" if hidden or tag in FURNITURE_TAGS or role and role[1] in FURNITURE_ROLES or _is_named(names) else "keep"
+    if hidden or tag in FURNITURE_TAGS or role and role[1] in FURNITURE_ROLES or _is_called(names):
+        return "drop"
+    return "part" if _is_named(names) else "keep"
 
 
 class Page:
@@ -142,9 +154,10 @@ class Page:
         """The content roots, and for each element whether it stands in one, above one, and holds prose or a heading."""
         n = len(self.tags)
         by = lambda test: [i for i in range(1, n) if test(i)]
-        roots = by(lambda i: self.tags[i] == "article" and not self._named(i)) or by(
-            lambda i: self.tags[i] == "main" or "role=main" in self.flags[i]
-        )
+        article = lambda i: self.tags[i] == "article" and not _is_called(self.names[i])
+        # an article with a part of such a name is a comment or an advert beside others, and the article where it is alone
+        roots = by(lambda i: article(i) and not _is_named(self.names[i])) or by(article)
+        roots = roots or by(lambda i: self.tags[i] == "main" or "role=main" in self.flags[i])
         self.inside, self.above, self.prose, self.heading = [False] * n, [False] * n, [False] * n, [False] * n
         for r in roots:
             self.inside[r] = True
@@ -161,9 +174,23 @@ class Page:
             self.heading[i] = self.heading[i] or self.tags[i] in HEADINGS
             self.prose[up] = self.prose[up] or self.prose[i]
             self.heading[up] = self.heading[up] or self.heading[i]
+        self._sizes()
         if self.whole:
             self._main()
 
+    def _sizes(self) -> None:
+        """Which elements hold more than half of the letters of the main content (of the page, without roots) outside links."""
+        n = len(self.tags)
+        linked, size = [False] * n, [0] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.tags[i] == "a"
+        for i, text in self.flow:
+            if text and not linked[i] and (self.whole or self.inside[i]):
+                size[i] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        self.most = [2 * s > size[0] for s in size]
+
     def _main(self) -> None:
         """The main content of a page without roots: the innermost element that holds most of the text in prose tags
         outside links and furniture. There, lists of nothing but links are not prose."""
@@ -196,15 +223,12 @@ class Page:
             self.main[at] = True
             at = self.parent[at]
 
-    def _named(self, i: int) -> bool:
-        return bool(self.names[i]) and _is_named(self.names[i])
-
     def is_furniture(self, i: int) -> bool:
         """Menus, footers, sidebars, notices, adverts, forms, comments and hidden parts, by what the page calls them."""
         if self.above[i]:
             return False
         kind = _kind(self.tags[i], self.names[i], self.flags[i])
-        return kind == "drop" or kind == "header" and not (self.inside[i] and self.heading[i])
+        return kind == "drop" or kind == "part" and not self.most[i] or kind == "header" and not (self.inside[i] and self.heading[i])
 
     def hashes(self) -> list[int]:
         """For each element the hash of its subtree, 0 where it cannot be template: roots, what holds them, inline
@@ -269,11 +293,12 @@ def template_hashes(pages: DataFrame, least_pages: int = LEAST_PAGES, least_shar
             at = pa.array(np.repeat(np.arange(len(found)), sizes))
             flat = pa.array([h for f in found for h in f], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), flat, batch.column(2).take(at), whole], names=["_host", "_hash", "_part", "_whole"]
+                [batch.column(0).take(at), flat, batch.column(2).take(at), whole], names=["_host", "_hash", "_page", "_whole"]
             )
 
-    weighed = keyed.join(copied, ["_host", "_page"], "left").select("_host", "html", F.coalesce(1 / F.col("_rows"), F.lit(1.0)).alias("_part"))
-    seen = weighed.mapInArrow(run, "_host string, _hash bigint, _part double, _whole boolean")
+    # only hashes move: pages are read first, and their rows are weighed after that
+    seen = keyed.mapInArrow(run, "_host string, _hash bigint, _page bigint, _whole boolean")
+    seen = seen.join(copied, ["_host", "_page"], "left").withColumn("_part", F.coalesce(1 / F.col("_rows"), F.lit(1.0)))
     counts = seen.groupBy("_host", "_hash").agg(F.count("*").alias("count"), F.round(F.sum("_part"), 3).alias("_distinct"), F.bool_or("_whole").alias("_whole"))
     counts = cut_lineage(counts.where(F.col("count") >= least_pages))
     least = F.when(F.col("_whole"), least_pages).otherwise(F.least(F.lit(least_pages), F.col("_pages")))

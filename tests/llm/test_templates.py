@@ -1,8 +1,11 @@
 """Article texts of small pages, and template removal by what recurs on a host."""
 
+import random
+from collections import Counter
+
 import pytest
 
-from lemmaforge.llm.templates import Page, extract_articles
+from lemmaforge.llm.templates import Page, extract_articles, template_hashes
 
 PAGES = {
     "<p>a<p>b": "a\n\nb",
@@ -19,6 +22,14 @@ PAGES = {
     "<article><p title=\"x > y\">q</p><p title='odd>r</p></article>": "q\n\nr",
     "<article><p>cut <b": "cut",
     "</p></div>t": "t",
+    "<article class='comment-policy'><p>how we moderate</p></article>": "how we moderate",
+    "<article class='post-comment'><p>one text</p></article>": "one text",
+    "<article><div class='widget-history'><p>the long story of the widget</p></div></article>": "the long story of the widget",
+    "<article><p>the text</p></article><article class='post-comment'><p>a reader</p></article>": "the text",
+    "<article><p>the whole story is told here</p><div class='share-box'>share</div></article>": "the whole story is told here",
+    "<article><div class='sidebar'><p>a long side text that is no story</p></div><p>story</p></article>": "story",
+    "<title-bar>bar</title-bar><p>after it</p>": "bar\n\nafter it",
+    "<style-guide>x</style-guide><article><p>kept</p></article>": "kept",
 }
 
 
@@ -27,6 +38,39 @@ def test_page(page):
     assert Page(page).text(frozenset()) == PAGES[page]
 
 
+def plain_templates(pages, least_pages=5, least_share=0.2):
+    """Hashes that recur on a host, counted page by page."""
+    rows = Counter((host, html) for host, html in pages)
+    hosts = Counter(host for host, _ in rows)
+    seen, whole, copies = Counter(), set(), Counter()
+    for (host, html), n in rows.items():
+        page = Page(html)
+        for h in {*page.hashes()} - {0}:
+            seen[host, h] += 1
+            copies[host, h] += n
+            whole |= {(host, h)} if page.whole else set()
+    out = {}
+    for (host, h), n in seen.items():
+        least = least_pages if (host, h) in whole else min(least_pages, hosts[host])
+        if copies[host, h] >= least_pages and n >= least and n >= least_share * hosts[host]:
+            out.setdefault(host, set()).add(h)
+    return out
+
+
+def test_counts_of_templates(spark):
+    rng = random.Random(4)
+    parts = ["<div>share this page</div>", "<nav><a>menu</a></nav>", "<ul><li><a href=/>home</a></ul>", "<div class=x><p>about us</p></div>", "<footer>(c) all</footer>"]
+    pages = []
+    for host in ("a", "b", "c"):
+        for i in range(rng.choice([3, 30, 60])):
+            held = "".join(p for p in parts if rng.random() < rng.choice([0.1, 0.5]))
+            body = f"<p>own text {i % 20} of {host}</p>"
+            pages.append((host, held + (f"<article>{body}</article>" if rng.random() < 0.5 else body)))
+    df = spark.createDataFrame(pages, "_host string, html string").repartition(5)
+    got = {r._host: set(r._template) for r in template_hashes(df).collect()}
+    assert got == plain_templates(pages) and got
+
+
 def test_template_of_a_host(spark):
     box, tail = "<div><span>Buy now</span> at our shop</div>", "<div>(c) all of us</div>"
     rows = [(i, f"http://a.org/{i}", f"{box}<p>own {i}</p>{tail}") for i in range(20)]
