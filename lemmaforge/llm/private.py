@@ -2,13 +2,17 @@
 
 Addresses, numbers and the like are found by patterns. In their documents stand words; how much a word tells of the
 entity is their pointwise mutual information over the corpus, as a share of the information of the entity itself.
-Counts are smoothed by a confidence bound, so that rare entities are judged too. A word that tells more than the
-threshold is generalised or removed in the documents that hold the entity. Only DataFrame expressions are used:
-counts are grouped sums, and texts move only where a document holds a revealing term.
+Counts are smoothed by a confidence bound, so that rare entities are judged too, and a word must be associated with the
+entity beyond what chance gives among all pairs that are judged (a log-likelihood ratio against a bound that grows with
+their number). Equal texts count once. A word that tells more than the threshold is generalised or removed in the
+documents that hold the entity. Only DataFrame expressions are used: counts are grouped sums, and texts move only where
+a document holds a revealing term.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +29,11 @@ PATTERNS = {
 _PART = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 WORD = r"[\p{L}\p{N}]++"
 SURE = 1.645  # standard deviations: what a term tells is so surely at least that much (95 %)
+CHANCE = 0.05  # how likely one innocent pair of all may pass the test of association
 DISCLOSURE = 0.8  # share of the entity's information a term may tell
 REMOVE = 0.95  # beyond it a term goes, below it is generalised
 BLOCK = 256
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "gone": ""}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "name": "[NAME]", "acronym": "[ACRONYM]", "gone": ""}
 
 
 def places(text: Column, pattern: str | Column) -> Column:
@@ -118,6 +123,23 @@ def surely(hits: Column, of: Column) -> Column:
     return (share + square / (2 * of) - spread) / (1 + square / of)
 
 
+def association(c_et: Column, c_e: Column, c_t: Column, n: Column) -> Column:
+    """Log-likelihood ratio of the two by two table of entity and term; 0 where they meet less often than by chance."""
+    cell = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+    both = cell(c_et, c_e, c_t) + cell(c_e - c_et, c_e, n - c_t) + cell(c_t - c_et, n - c_e, c_t)
+    both = both + cell(n - c_e - c_t + c_et, n - c_e, n - c_t)
+    return F.when(c_et * n > c_e * c_t, 2 * both).otherwise(0.0)
+
+
+def least_association(pairs: float, chance: float = CHANCE) -> float:
+    """The ratio that none of so many innocent pairs passes but with the given chance (chi-square tail, one degree)."""
+    wanted = 2 * math.log(max(1.0, pairs) / chance) + math.log(2 / math.pi)
+    ratio = max(1.0, wanted)
+    for _ in range(50):
+        ratio = max(1.0, wanted - math.log(ratio))
+    return ratio
+
+
 def entity_texts(based: DataFrame) -> DataFrame:
     """`doc_id`, `_key`, the distinct `entities` and the distinct `words` of every document that holds an entity."""
     def entities(kind: str) -> Column:
@@ -135,6 +157,7 @@ def revealing_terms(seen: DataFrame, frequencies: DataFrame, n_texts: int, discl
     that stand in the same texts are told by the same terms and are scored once, so that lists of them cost no square.
     """
     texts = cut_lineage(seen.select("_key", "entities", "words").dropDuplicates(["_key"]))
+    judged = texts.agg(F.sum(F.size("entities").cast("double") * F.size("words"))).first()[0] or 0.0
     n = F.lit(float(max(2, n_texts)))
     # more frequent terms cannot tell enough of an entity in c_e texts, even if they stand in all of these
     most = lambda c_e: F.pow(c_e, F.lit(disclosure)) * F.pow(n, F.lit(1 - disclosure)) * 1.0001
@@ -150,7 +173,8 @@ def revealing_terms(seen: DataFrame, frequencies: DataFrame, n_texts: int, discl
     pairs = pairs.groupBy("same", "c_e", "term", "c_t").agg(F.count("*").alias("c_et"))
     c_e, c_t = F.least(F.col("c_e"), n - 1), F.greatest("c_t", "c_et")
     share = F.log(surely(F.col("c_et"), c_t) * n / c_e) / F.log(n / c_e)
-    told = cut_lineage(pairs.select("same", "term", share.alias("told")).where(F.col("told") >= disclosure))
+    real = association(F.col("c_et"), c_e, F.least(c_t, n - 1), n) >= least_association(judged)
+    told = cut_lineage(pairs.where(real).select("same", "term", share.alias("told")).where(F.col("told") >= disclosure))
     # only the texts that hold the term, which an entity of several texts need not do in each
     return held.join(told, "same").join(rare.select("_key", "term"), ["_key", "term"]).groupBy("_key", "term").agg(F.max("told").alias("told"))
 
@@ -208,10 +232,16 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     Of places that overlap, the first (the longer, if they start together) stands for all. Null texts stay null.
     """
     names = docs.columns
-    found = find_private(docs.withColumn("_null", F.col("text").isNull()))
+    # the columns of `docs` travel in one, so that none clashes with those made here
+    others = F.struct(*[F.col(c) for c in names if c != "text"]).alias("_doc")
+    found = find_private(docs.select("doc_id", "text", F.col("text").isNull().alias("_null"), others))
     mark = lambda p, label: F.struct(p["start"].alias("start"), (-p["end"]).alias("back"), label.alias("label"))
     marked = lambda kind: F.transform(kind, lambda p: mark(p, F.lit(LABELS[kind])))
-    terms = F.transform("terms", lambda p: mark(p, F.when(p["told"] >= remove, LABELS["gone"]).otherwise(LABELS["general"])))
+    said = lambda p: F.substr("text", p["start"] + 1, p["end"] - p["start"])
+    kind = lambda w: (
+        F.when(F.rlike(w, F.lit(r"^\p{Lu}{2,}$")), LABELS["acronym"]).when(F.rlike(w, F.lit(r"^\p{Lu}")), LABELS["name"]).otherwise(LABELS["general"])
+    )
+    terms = F.transform("terms", lambda p: mark(p, F.when(p["told"] >= remove, LABELS["gone"]).otherwise(kind(said(p)))))
     spans = [*map(marked, KINDS), terms]
     found = found.withColumn("_spans", F.array_sort(F.concat(*spans))).drop(*KINDS, "terms")
 
@@ -226,7 +256,6 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     rest = F.concat(F.array_join("_done.out", ""), F.substr("text", F.col("_done.at") + 1, F.length("text")))
     text = F.when(F.col("_null"), None).when(F.size("_spans") == 0, F.col("text")).otherwise(rest)
     out = found.withColumn("_new", text)
-    if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("_new").cast(kind)))
-    return out.withColumn("text", F.col("_new")).select(*names)
+    changed = lambda c: F.when(F.size("_spans") == 0, F.col("_doc")[c]).otherwise(F.length("_new").cast(docs.schema[c].dataType))
+    given = {"text": F.col("_new")} | ({"n_chars": changed("n_chars")} if "n_chars" in names else {})
+    return out.select(*[given.get(c, F.col("_doc")[c]).alias(c) for c in names])

@@ -123,3 +123,59 @@ def test_copies_hide_no_term(spark):
     found = term_spans(spark, rows + [(3000 + i, rows[30][1]) for i in range(400)])
     assert plain_found[30] == {"Zorro"} and all(found[d] == {"Zorro"} for d in (0, 30, 3000, 3399))
     assert {d: f for d, f in found.items() if d < 3000} == plain_found
+
+
+def planted_corpus(n, seed):
+    """Nicknames that stand by their addresses, among rare but innocent words and common filler."""
+    rng = random.Random(seed)
+    syllables = ["ba", "ke", "li", "mo", "nu", "ra", "si", "to", "ve", "wu", "xa", "zi", "gro", "pla", "ster", "fin"]
+    invented = lambda: "".join(rng.choices(syllables, k=4))
+    common = ["".join(rng.choices(syllables, k=2)) for _ in range(150)]
+    rows, nicknames = [], {}
+    for i in range(n):
+        # a fifth of the words stands in this text only
+        text = [invented() if rng.random() < 0.2 else rng.choice(common) for _ in range(40)]
+        if i % 25 == 0:
+            person = i // 25 % (n // 100)  # four texts each
+            nick = nicknames.setdefault(person, "Nick" + "".join(rng.choices("bcdfgh", k=6)))
+            text[5:5] = [nick, "wrote"]
+            text[30:30] = ["to", f"p{person}@mail.org"]
+        elif i % 25 == 1:
+            text[20:20] = ["write", "to", f"once{i}@mail.org"]
+        rows.append((i, " ".join(text)))
+    return rows, set(nicknames.values())
+
+
+def test_rare_innocent_words_stay(spark):
+    """Planted nicknames are found at two sizes of corpus, and hardly an innocent word is marked."""
+    for n in (600, 2400):
+        rows, nicknames = planted_corpus(n, n)
+        found = term_spans(spark, rows)
+        marked = [w for held in found.values() for w in held]
+        hits = [w for w in marked if w in nicknames]
+        planted = sum(any(w in nicknames for w in text.split()) for _, text in rows)
+        assert len(hits) >= 0.95 * planted
+        beside = sum(len(set(text.split())) for _, text in rows if "@" in text)
+        assert len(marked) - len(hits) <= 0.05 * beside
+        assert len(marked) - len(hits) <= 0.1 * len(marked)
+
+
+def test_the_gardener_keeps_the_words(spark):
+    rows, _ = planted_corpus(1500, 9)
+    said = "The quixotic gardener planted seventeen rhododendrons near bobs shed and wrote to bob@shed.org about marmalade"
+    df = spark.createDataFrame([*rows, (9999, said)], "doc_id bigint, text string").repartition(3)
+    assert sanitise(df).where("doc_id = 9999").first().text == said.replace("bob@shed.org", "[EMAIL]")
+
+
+def test_names_are_generalised_by_their_form(spark):
+    """A term that tells much but not nearly all gives way to what kind of word it is."""
+    rows = revealing_corpus()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.text for r in sanitise(df, remove=1.01).collect()}
+    assert "[NAME] writes from [EMAIL]" in got[0]
+
+
+def test_columns_may_have_any_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.c now", 14, "x", 2, 3)], "doc_id bigint, text string, n_chars int, email string, _key int, terms int")
+    row = sanitise(df).first()
+    assert tuple(row) == (1, "mail [EMAIL] now", 16, "x", 2, 3) and sanitise(df).columns == df.columns
