@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from lemmaforge.llm.words import alnum_words, sha256_hex
+from lemmaforge.llm.words import alnum_words, free_name, sha256_hex
 from lemmaforge.session import cut_lineage
 
 WINDOW = 10
@@ -30,34 +30,54 @@ BLOCK_WINDOWS = 200_000  # windows broadcast at a time: at most some 30 MB
 SAMPLED = 8  # every so many suffix positions are kept
 
 
+class Bits:
+    """Packed flags with a count for each 64 of them: which are set, and how many before a place."""
+
+    def __init__(self, flags: np.ndarray) -> None:
+        padded = np.zeros((len(flags) // 64 + 1) * 64, bool)
+        padded[: len(flags)] = flags
+        self.words = np.packbits(padded.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+        counts = np.bitwise_count(self.words).astype(np.int64)
+        self.before = np.cumsum(counts) - counts
+        self.total = int(counts.sum())
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """How many are set before each place."""
+        under = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[place >> 6] + np.bitwise_count(self.words[place >> 6] & under)
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence, one bit plane a level, for many queries at once."""
 
     def __init__(self, symbols: np.ndarray, bits: int) -> None:
         self.planes = []
         for bit in range(bits - 1, -1, -1):
-            on = (symbols >> bit) & 1
-            ones = np.zeros(len(symbols) + 1, np.int32)
-            np.cumsum(on, out=ones[1:])
-            self.planes.append((bit, ones, len(symbols) - int(ones[-1])))
-            symbols = np.concatenate([symbols[on == 0], symbols[on == 1]])
+            on = (symbols >> bit) & 1 == 1
+            ones = Bits(on)
+            self.planes.append((bit, ones, len(symbols) - ones.total))
+            symbols = np.concatenate([symbols[~on], symbols[on]])
 
     def rank(self, symbol: np.ndarray, before: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each position."""
         start, end = np.zeros_like(before), before
         for bit, ones, zeros in self.planes:
             on = ((symbol >> bit) & 1).astype(bool)
-            start = np.where(on, zeros + ones[start], start - ones[start])
-            end = np.where(on, zeros + ones[end], end - ones[end])
+            low, high = ones.rank(start), ones.rank(end)
+            start = np.where(on, zeros + low, start - low)
+            end = np.where(on, zeros + high, end - high)
         return end - start
 
     def at(self, place: np.ndarray) -> np.ndarray:
         """The symbols at the given positions."""
         symbol = np.zeros_like(place)
         for bit, ones, zeros in self.planes:
-            on = ones[place + 1] > ones[place]
+            on, before = ones.at(place), ones.rank(place)
             symbol |= on.astype(symbol.dtype) << bit
-            place = np.where(on, zeros + ones[place], place - ones[place])
+            place = np.where(on, zeros + before, place - before)
         return symbol
 
 
@@ -91,8 +111,8 @@ class FmIndex:
         self.waves = WaveletMatrix(symbols[order - 1].astype(np.int64), max(1, int(top).bit_length()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=top + 1))])
         keep = (np.arange(self.size) % sampled == 0) | (np.concatenate([[0], symbols[:-1]]) == 0)
-        self.kept = keep[order]
-        self.place = order
+        self.kept = Bits(keep[order])
+        self.place = order[keep[order]]  # of the sampled suffixes only
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of symbols, the first and the end row of the suffixes that begin with it."""
@@ -112,8 +132,8 @@ class FmIndex:
         rows, found, steps = rows.copy(), np.zeros(len(rows), np.int64), 0
         open_ = np.arange(len(rows))
         while len(open_):
-            done = self.kept[rows[open_]]
-            found[open_[done]] = self.place[rows[open_[done]]] + steps
+            done = self.kept.at(rows[open_])
+            found[open_[done]] = self.place[self.kept.rank(rows[open_[done]])] + steps
             open_ = open_[~done]
             symbol = self.waves.at(rows[open_])
             rows[open_] = self.first[symbol] + self.waves.rank(symbol, rows[open_])
@@ -302,16 +322,17 @@ def remove_leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_w
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, "item_id", "text", width, block_windows)]
     if len(shared) == 1:
         return docs.mapInArrow(_cutter(shared[0]), docs.schema)
-    marked = StructType([*docs.schema, StructField("_spans", _SPANS)])
-    cut = StructType([*docs.schema, StructField("_again", BooleanType())])
+    spans, again = free_name("_spans", docs.columns), free_name("_again", docs.columns)
+    marked = StructType([*docs.schema, StructField(spans, _SPANS)])
+    cut = StructType([*docs.schema, StructField(again, BooleanType())])
     done, left = [], docs
     while not done or left.take(1):
-        out = left.withColumn("_spans", F.array().cast(_SPANS))
+        out = left.withColumn(spans, F.array().cast(_SPANS))
         for block in shared:
             out = out.mapInArrow(_marker(block), marked)
-        out = cut_lineage(out.mapInArrow(_cut_marked, cut))
-        done.append(out.where("not _again").select(*docs.columns))
-        left = out.where("_again").select(*docs.columns)
+        out = cut_lineage(out.mapInArrow(_cut_marked(again), cut))
+        done.append(out.where(~F.col(again)).select(*docs.columns))
+        left = out.where(F.col(again)).select(*docs.columns)
     return functools.reduce(DataFrame.union, done)
 
 
@@ -332,32 +353,33 @@ def _with_texts(batch: pa.RecordBatch, texts: list[str | None], changed: list[bo
 
 
 def _marker(shared):
-    """Adds the spans a block hits to `_spans`."""
+    """Adds the spans a block hits to the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         groups = block.grouped()
         for batch in batches:
             _, spans, _ = shard_hits(batch.column("text").to_pylist(), block, groups)
-            before = batch.column("_spans").to_pylist()
+            before = batch.columns[-1].to_pylist()
             merged = [merge_spans([(s["start"], s["end"]) for s in old] + new) for old, new in zip(before, spans)]
-            merged = pa.array([[{"start": a, "end": b} for a, b in s] for s in merged], batch.column("_spans").type)
-            at = batch.schema.get_field_index("_spans")
-            yield pa.RecordBatch.from_arrays([merged if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            merged = pa.array([[{"start": a, "end": b} for a, b in s] for s in merged], batch.columns[-1].type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], merged], names=batch.schema.names)
 
     return run
 
 
-def _cut_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts `_spans`; `_again` tells whether there were any."""
-    for batch in batches:
-        spans = [[(s["start"], s["end"]) for s in each] for each in batch.column("_spans").to_pylist()]
-        again = [bool(s) for s in spans]
-        texts = [cut_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
-        at = batch.schema.get_field_index("_spans")
-        columns = _with_texts(batch, texts, again)
-        columns[at] = pa.array(again, pa.bool_())
-        yield pa.RecordBatch.from_arrays(columns, names=["_again" if i == at else n for i, n in enumerate(batch.schema.names)])
+def _cut_marked(again: str):
+    """Cuts the spans in the last column, which then tells, as `again`, whether there were any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[(s["start"], s["end"]) for s in each] for each in batch.columns[-1].to_pylist()]
+            hit = [bool(s) for s in spans]
+            texts = [cut_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
+            columns = [*_with_texts(batch, texts, hit)[:-1], pa.array(hit, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], again])
+
+    return run
 
 
 def _cutter(shared):

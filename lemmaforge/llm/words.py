@@ -24,6 +24,14 @@ def blank_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_LOWER).split() if text else []
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores as it takes to clash with no column."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def sha256_hex(data: str | bytes) -> str:
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
