@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lemmaforge.llm.components import components
 from lemmaforge.llm.near_vectors import _bounds, local_roots
-from lemmaforge.llm.words import blank_word_hashes, mix
+from lemmaforge.llm.words import blank_word_hashes, free_name, mix
 from lemmaforge.session import cut_lineage
 
 WORDS = 5
@@ -447,16 +447,18 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     own = ids.where("size > 0").join(linked, "c", "left").withColumn("component", F.coalesce("component", "c"))
     # the smallest id of a component, and the class that has it
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")
-    best = cut_lineage(own.groupBy("component").agg(F.min(first).alias("f")).select(F.col("f.c").alias("_c"), F.col("f.doc_id").alias("_d")))
-    schema = docs.withColumn("_own", F.lit(None).cast("bigint")).schema
+    mine, their_class, their_id = (free_name(n, docs.columns) for n in ("_own", "_c", "_d"))
+    best = own.groupBy("component").agg(F.min(first).alias("f"))
+    best = cut_lineage(best.select(F.col("f.c").alias(their_class), F.col("f.doc_id").alias(their_id)))
+    schema = docs.withColumn(mine, F.lit(None).cast("bigint")).schema
     at = docs.columns.index("text")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = _sets(batch.column(at), width)
             classes = pa.array([set_hashes(s, seed)[0] if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, "_own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, mine])
 
-    marked = docs.mapInArrow(number, schema)
-    kept = marked.where("_own is not null").join(best, (F.col("_own") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["_own", "doc_id"]).select(*docs.columns).union(docs.where(F.coalesce("text", F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*$")))
+    marked = docs.mapInArrow(number, schema).where(F.col(mine).isNotNull())
+    kept = marked.join(best, (F.col(mine) == F.col(their_class)) & F.col("doc_id").eqNullSafe(F.col(their_id)), "left_semi")
+    return kept.dropDuplicates([mine, "doc_id"]).select(*docs.columns).union(docs.where(F.coalesce("text", F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*$")))

@@ -161,11 +161,16 @@ def classify_quality(
 def keep_good(
     docs: DataFrame, labels: DataFrame, site: str = "source", section: str = "lang", fit_rows: int = FIT_ROWS, accept: float = ACCEPT
 ) -> DataFrame:
-    """The rows of `docs` that `classify_quality` calls good. Texts are read twice and not moved."""
+    """The rows of `docs` that `classify_quality` calls good, with all their columns, whatever these are called.
+
+    Null and empty texts are judged by features of zero, null sites and sections are groups of their own, and repeated
+    rows stay or go together. Texts are read twice and not moved.
+    """
     model = QualityModel(docs, labels, fit_rows)
     if model.model is None:
         return docs
-    marked = docs.withColumns({"_site": F.col(site), "_section": F.col(section)})
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_doc")
+    marked = docs.select(F.col(site).alias("_site"), F.col(section).alias("_section"), "text", others)
     sections, prior = section_sums(model.evidence(marked.select("_site", "_section", "text")))
     judged = with_posterior(model.evidence(marked, keep_text=True), sections, prior, accept)
-    return judged.where("good").select(*docs.columns)
+    return judged.where("good").select(*[(F.col("text") if c == "text" else F.col("_doc")[c]).alias(c) for c in docs.columns])
