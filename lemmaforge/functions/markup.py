@@ -25,7 +25,6 @@ NODE = T.StructType(
         T.StructField("sib", T.IntegerType()),
         *NAMED[1:],
         T.StructField("text", T.StringType()),
-        T.StructField("anc", T.ArrayType(T.StructType(NAMED))),
     ]
 )
 TEXT = "#text"
@@ -76,7 +75,6 @@ class NodeReader(HTMLParser):
             "classes": attrs.get("class", "").split(),
             "attrs": attrs,
             "text": text,
-            "anc": [a["pre"] for a in self.open],
         }
         self.nodes.append(node)
         return node
@@ -213,7 +211,7 @@ def lists(values: list[list[str]]) -> pa.Array:
 
 @F.arrow_udf(T.ArrayType(NODE))
 def node_structs(html: pa.Array) -> pa.Array:
-    """Nodes of a batch, column by column; ancestors are taken from the nodes by place."""
+    """Nodes of a batch, column by column."""
     records = [read_nodes(text.as_py()) for text in html]
     nodes = [node for record in records for node in record]
     column = lambda name, kind: pa.array([n[name] for n in nodes], kind)
@@ -229,11 +227,6 @@ def node_structs(html: pa.Array) -> pa.Array:
             pa.array([v for a in attrs for v in a.values()], pa.string()),
         ),
     }
-    places, base = [], 0
-    for record in records:
-        places.extend(base + up for node in record for up in node["anc"])
-        base += len(record)
-    uppers = pa.StructArray.from_arrays(list(named.values()), list(named)).take(pa.array(places, pa.int64()))
     columns = {
         "pre": named["pre"],
         "end": column("end", pa.int32()),
@@ -242,7 +235,6 @@ def node_structs(html: pa.Array) -> pa.Array:
         "sib": column("sib", pa.int32()),
         **{k: v for k, v in named.items() if k != "pre"},
         "text": column("text", pa.string()),
-        "anc": pa.ListArray.from_arrays(offsets([len(n["anc"]) for n in nodes]), uppers),
     }
     structs = pa.StructArray.from_arrays(list(columns.values()), list(columns))
     return pa.ListArray.from_arrays(offsets([len(r) for r in records]), structs)

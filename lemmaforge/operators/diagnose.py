@@ -40,16 +40,20 @@ def stride_sample(records: DataFrame, limit: int) -> DataFrame:
 AUDIO_HINTS = ["sound://", "snd://", ".mp3", ".spx", ".wav", ".ogg"]
 
 
-def record_score(content: Column | str) -> Column:
-    """A2: how much of a template the markup of a record shows."""
+def record_score(content: Column | str, limit: int | None = None) -> Column:
+    """A2: how much of a template the markup of a record shows. A `limit` reads only so many tags and class attributes."""
     raw = K.col(content)
     low = F.lower(raw)
-    tags = F.array_distinct(F.slice(T.find_all(low, "<([a-z][a-z0-9]*)", 1), 1, 400))
-    quoted = F.slice(T.find_all(low, r"class\s*=\s*(?:\"[^\"]*\"|'[^']*')"), 1, 400)
+    some = lambda found: found if limit is None else F.slice(found, 1, limit)
+    tags = F.array_distinct(some(T.find_all(low, "<([a-z][a-z0-9]*)", 1)))
+    quoted = some(T.find_all(low, r"class\s*=\s*(?:\"[^\"]*\"|'[^']*')"))
     values = F.transform(quoted, lambda q: F.regexp_replace(q, r"^class\s*=\s*[\"']|[\"']$", ""))
     names = F.filter(F.split(F.array_join(values, " "), r"\s+"), lambda c: c != "")
     distinct = F.array_distinct(names)
-    repeated = F.filter(distinct, lambda c: F.size(F.filter(names, lambda n: n == c)) >= 3)
+    # names in order: one stands three times if it equals the second after it and not the one before
+    line = F.array_sort(names)
+    triples = F.arrays_zip(line.alias("a"), F.slice(line, F.lit(3), F.size(line)).alias("b"), F.concat(F.array(F.lit("")), line).alias("c"))
+    repeated = F.filter(triples, lambda t: (t["a"] == t["b"]) & (t["a"] != t["c"]))
     audio = low.rlike("(" + "|".join(h.replace(".", r"\.") for h in AUDIO_HINTS) + ")")
     link = F.contains(low, F.lit("entry://")) | F.contains(low, F.lit("<a "))
     return (
@@ -305,10 +309,11 @@ def profile_scores(nodes: DataFrame, profiles: Sequence[dict], titles: DataFrame
     A profile is a dict with id, selectors, and optionally title patterns and
     require_title. All selectors are tried on a node in one pass.
     """
+    tried = [(p["id"], i, s) for p in profiles for i, s in enumerate(p["selectors"])]
+    nodes = N.marked(nodes, **{f"_hit_{n}": s for n, (_, _, s) in enumerate(tried)})
     flags = [
-        F.struct(F.lit(p["id"]).alias("profile"), F.lit(i).alias("sel"), N.selector(s).alias("hit"))
-        for p in profiles
-        for i, s in enumerate(p["selectors"])
+        F.struct(F.lit(name).alias("profile"), F.lit(i).alias("sel"), F.col(f"_hit_{n}").alias("hit"))
+        for n, (name, i, _) in enumerate(tried)
     ]
     met = (
         nodes.select("dict_id", "rec_id", F.explode(F.filter(F.array(*flags), lambda x: x["hit"])).alias("x"))
@@ -362,7 +367,7 @@ def pronunciation_evidence(nodes: DataFrame, resources: DataFrame) -> DataFrame:
     `nodes` carries dict_id; `resources` has (dict_id, res_key).
     """
     elements = nodes.filter(F.col("tag") != TEXT)
-    texts = N.with_texts(nodes, elements.select("rec_id", "pre", "dict_id"), "own")
+    texts = N.with_texts(nodes, elements.select("rec_id", "pre", "end", "dict_id"), "own")
     ipa = texts.groupBy("dict_id", "rec_id").agg(F.bool_or(V.looks_like_ipa("own")).alias("has_ipa"))
     refs = N.references(nodes).join(nodes.select("rec_id", "dict_id").distinct(), "rec_id")
     cut = F.regexp_replace(F.lower("ref"), "(?s)[?#].*$", "")

@@ -19,6 +19,7 @@ from lemmaforge.functions import keys as K
 from lemmaforge.functions import text as T
 from lemmaforge.functions.markup import TEXT, node_structs
 from lemmaforge.functions.vocab import has_region_marker
+from lemmaforge.operators.intervals import below, inside, parents, stack_join
 
 # Elements that stand apart from the text around them.
 BLOCK_TAGS = [
@@ -85,58 +86,56 @@ def compound_test(part: str):
     return lambda n: functools.reduce(lambda a, b: a & b, [t(n) for t in tests], n("tag") != TEXT)
 
 
-def selector(raw: str | Sequence[str]) -> Column:
-    """Selector text to a condition on a node row; ancestors are in the row.
+def chains_of(raw: str | Sequence[str]) -> list[list]:
+    """Alternatives of a selector as chains of compound tests. Those with a malformed part are left out, as if not written."""
+    alternatives = ",".join([raw] if isinstance(raw, str) else list(raw)).split(",")
+    chains = [[compound_test(p) for p in alternative.split()] for alternative in alternatives]
+    return [c for c in chains if c and all(test is not None for test in c)]
+
+
+def marked(nodes: DataFrame, **selectors: str | Sequence[str] | None) -> DataFrame:
+    """`nodes` with a flag for each selector. All nodes of a record are there.
 
-    Alternatives with a malformed part are left out, as if not written.
+    A chain is walked compound by compound: a node meets the next one if it stands below a node that has met those
+    before. All selectors walk together, in windows of one order.
     """
-    alternatives = ",".join([raw] if isinstance(raw, str) else list(raw)).split(",")
-    own = lambda name: F.col(name)
-    out = F.lit(False)
-    for alternative in alternatives:
-        chain = [compound_test(p) for p in alternative.split()]
-        if not chain or any(c is None for c in chain):
-            continue
-        hit = chain[-1](own)
-        uppers = chain[:-1]
-        if len(uppers) == 1:
-            hit = hit & F.exists("anc", lambda a: uppers[0](lambda name: a[name]))
-        elif uppers:
-            # walk from the root, taking the next wanted compound when met
-            def step(at: Column, a: Column) -> Column:
-                moves = F.lit(False)
-                for i, test in enumerate(uppers):
-                    moves = moves | ((at == i) & test(lambda name: a[name]))
-                return at + moves.cast("int")
-
-            hit = hit & (F.aggregate("anc", F.lit(0), step) == len(uppers))
-        out = out | hit
-    return out
+    own = lambda name: F.col(name)
+    walks = {name: chains_of(raw) if raw else [] for name, raw in selectors.items()}
+    met = {(name, i): chain[0](own) for name, chains in walks.items() for i, chain in enumerate(chains)}
+    helpers: list[str] = []
+    for step in range(1, max([len(c) for chains in walks.values() for c in chains], default=0)):
+        reached = {}
+        for (name, i), hit in met.items():
+            if len(walks[name][i]) > step:
+                reached[f"_below_{name}_{i}_{step}"] = below(hit)
+                met[name, i] = walks[name][i][step](own) & F.col(f"_below_{name}_{i}_{step}")
+        nodes = nodes.withColumns(reached)
+        helpers += reached
+    flags = {name: functools.reduce(lambda a, b: a | b, [met[name, i] for i in range(len(chains))], F.lit(False)) for name, chains in walks.items()}
+    return nodes.withColumns(flags).drop(*helpers)
 
 
 def matching(nodes: DataFrame, raw: str | Sequence[str]) -> DataFrame:
-    return nodes.filter(selector(raw))
+    return marked(nodes, _hit=raw).filter("_hit").drop("_hit")
 
 
-def outermost(nodes: DataFrame, hit: Column | None = None) -> DataFrame:
+def outermost(nodes: DataFrame, hit: Column | str | Sequence[str] | None = None) -> DataFrame:
     """Rows (or hits among rows) not inside an earlier one."""
-    rows = nodes if hit is None else nodes.filter(hit)
-    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.withColumn("_reach", F.coalesce(F.max("end").over(before), F.lit(-1)))
-        .filter(F.col("pre") > F.col("_reach"))
-        .drop("_reach")
-    )
+    if hit is None or isinstance(hit, Column):
+        rows = nodes if hit is None else nodes.filter(hit)
+    else:
+        rows = matching(nodes, hit)
+    return rows.withColumn("_held", below(F.lit(True))).filter(~F.col("_held")).drop("_held")
 
 
-def without(nodes: DataFrame, hit: Column | str) -> DataFrame:
+def without(nodes: DataFrame, hit: Column | str | Sequence[str]) -> DataFrame:
     """Nodes left after the subtrees of all hits are taken out."""
-    condition = selector(hit) if isinstance(hit, str) else hit
+    flagged = nodes.withColumn("_out", hit) if isinstance(hit, Column) else marked(nodes, _out=hit)
     upto = in_order().rowsBetween(Window.unboundedPreceding, 0)
     return (
-        nodes.withColumn("_cut", F.max(F.when(condition, F.col("end"))).over(upto))
+        flagged.withColumn("_cut", F.max(F.when(F.col("_out"), F.col("end"))).over(upto))
         .filter(F.col("_cut").isNull() | (F.col("_cut") < F.col("pre")))
-        .drop("_cut")
+        .drop("_cut", "_out")
     )
 
 
@@ -145,23 +144,21 @@ def scoped(nodes: DataFrame, root: str | None = None, ignore: str | None = None)
     out = nodes
     if root:
         whole = Window.partitionBy("rec_id")
-        hit = selector(root)
         out = (
-            out.withColumn("_root", F.min(F.when(hit, F.struct("pre", "end"))).over(whole))
+            marked(out, _hit=root)
+            .withColumn("_root", F.min(F.when(F.col("_hit"), F.struct("pre", "end"))).over(whole))
             .filter(
                 F.col("_root").isNull()
                 | ((F.col("pre") >= F.col("_root.pre")) & (F.col("pre") <= F.col("_root.end")))
             )
-            .drop("_root")
+            .drop("_root", "_hit")
         )
     return without(out, ignore) if ignore else out
 
 
 def visible(nodes: DataFrame) -> DataFrame:
     """Nodes outside scripts, styles, head and inline-hidden subtrees."""
-    silent = F.col("tag").isin(SILENT_TAGS) | F.exists("anc", lambda a: a["tag"].isin(SILENT_TAGS))
-    hidden = hides(F.col("attrs")) | F.exists("anc", lambda a: hides(a["attrs"]))
-    return nodes.filter(~silent & ~hidden)
+    return without(nodes, F.col("tag").isin(SILENT_TAGS) | hides(F.col("attrs")))
 
 
 LETTER = r"[\p{L}\p{Nd}]"
@@ -181,22 +178,25 @@ def text_pieces(nodes: DataFrame) -> DataFrame:
     A separator is due where a block begins or ends between two texts, and
     where two words would merge.
     """
-    block = F.col("tag").isin(BLOCK_TAGS)
-    upto = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    nearest = F.element_at(
-        F.concat(F.array(F.lit(-1)), F.transform(F.filter("anc", lambda a: a["tag"].isin(BLOCK_TAGS)), lambda a: a["pre"])),
-        -1,
-    )
-    texts = (
-        visible(nodes)
-        .withColumn("_opened", F.sum(block.cast("int")).over(upto))
-        .filter(F.col("tag") == TEXT)
-        .withColumn("_block", F.struct("_opened", nearest.alias("near")))
-    )
-    before = in_order()
-    prior = F.lag("text").over(before)
-    gap = (F.lag("_block").over(before) != F.col("_block")) | needs_gap(prior, F.col("text"))
-    return texts.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "text")).drop("_opened", "_block")
+    line = with_boundaries(visible(nodes), F.col("tag").isin(BLOCK_TAGS)).filter(F.col("tag") == TEXT)
+    order = Window.partitionBy("rec_id").orderBy("_at", "_turn")
+    prior = F.lag("text").over(order)
+    gap = (F.lag("_block").over(order) != F.col("_block")) | needs_gap(prior, F.col("text"))
+    return line.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "text")).drop("_block", "_at", "_turn")
+
+
+def with_boundaries(nodes: DataFrame, block: Column) -> DataFrame:
+    """Nodes with `_block`, the numbers of blocks opened and closed before them, in the order of `_at`, `_turn`.
+
+    Two nodes with the same numbers stand in one stretch of one block.
+    """
+    turns = F.explode(F.when(block, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    line = nodes.withColumn("_b", block).withColumn("_turn", turns)
+    line = line.withColumn("_at", F.when(F.col("_turn") == 0, F.col("pre")).otherwise(F.col("end")))
+    upto = Window.partitionBy("rec_id").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.sum((F.col("_b") & (F.col("_turn") == 0)).cast("int")).over(upto)
+    counted = line.withColumns({"_opened": opened, "_closed": F.sum("_turn").over(upto)}).filter("_turn = 0")
+    return counted.withColumn("_block", F.struct("_opened", "_closed")).drop("_b", "_opened", "_closed")
 
 
 def joined_text(pieces: DataFrame, keys: Sequence[str], name: str = "text") -> DataFrame:
@@ -211,12 +211,9 @@ def visible_text(nodes: DataFrame, name: str = "text") -> DataFrame:
 
 
 def element_texts(nodes: DataFrame, wanted: DataFrame, name: str = "own_text", pieces: DataFrame | None = None) -> DataFrame:
-    """Visible text under each wanted element: (rec_id, e_pre, text)."""
-    under = (text_pieces(nodes) if pieces is None else pieces).select(
-        "rec_id", "pre", "piece", F.explode(F.transform("anc", lambda a: a["pre"])).alias("e_pre")
-    )
-    asked = wanted.select("rec_id", F.col("pre").alias("e_pre"))
-    return joined_text(under.join(asked, ["rec_id", "e_pre"], "left_semi"), ["rec_id", "e_pre"], name)
+    """Visible text under each wanted element (with `end`): (rec_id, e_pre, text)."""
+    under = (text_pieces(nodes) if pieces is None else pieces).select("rec_id", "pre", "piece")
+    return joined_text(stack_join(under, wanted, "e_pre", every=True), ["rec_id", "e_pre"], name)
 
 
 def with_texts(nodes: DataFrame, wanted: DataFrame, name: str = "own_text") -> DataFrame:
@@ -249,10 +246,10 @@ def descriptor_text(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_w"))), lambda x: x["_w"]), " ").alias("_kids"))
     )
     beside = nodes.select(
-        "rec_id", "parent", "sib", F.col("pre").alias("_np"), F.col("text").alias("_nt"),
+        "rec_id", "parent", "sib", F.col("pre").alias("_np"), F.col("end").alias("_ne"), F.col("text").alias("_nt"),
         F.when(F.col("tag") != TEXT, attribute_words(F.col("attrs"))).alias("_nw"),
     )
-    left = beside.select("rec_id", "parent", (F.col("sib") + 1).alias("sib"), F.col("_np").alias("_lp"), F.col("_nt").alias("_lt"), F.col("_nw").alias("_lw"))
+    left = beside.select("rec_id", "parent", (F.col("sib") + 1).alias("sib"), F.col("_np").alias("_lp"), F.col("_ne").alias("_le"), F.col("_nt").alias("_lt"), F.col("_nw").alias("_lw"))
     right = beside.select("rec_id", "parent", (F.col("sib") - 1).alias("sib"), F.col("_nw").alias("_rw"))
     pieces = text_pieces(nodes)
     at = ["rec_id", "parent", "sib"]
@@ -262,14 +259,14 @@ def descriptor_text(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
         .join(right, at, "left")
         .join(element_texts(nodes, wanted, "_own", pieces).withColumnRenamed("e_pre", "pre"), ["rec_id", "pre"], "left")
     )
-    lefts = base.filter(F.col("_lp").isNotNull()).select("rec_id", F.col("_lp").alias("pre"))
+    lefts = base.filter(F.col("_lp").isNotNull()).select("rec_id", F.col("_lp").alias("pre"), F.col("_le").alias("end"))
     base = base.join(
         element_texts(nodes, lefts, "_lown", pieces).withColumnRenamed("e_pre", "_lp"), ["rec_id", "_lp"], "left"
     )
-    uppers = F.transform(F.slice(F.reverse("anc"), 1, 3), lambda a: attribute_words(a["attrs"]))
+    base = parents(base, nodes, attribute_words(F.col("attrs")), "_uppers", 3)
     own = F.when(F.length(F.coalesce("_own", F.lit(""))) <= 120, F.col("_own"))
     said = F.lower(
-        F.concat_ws(" ", attribute_words(F.col("attrs")), "_kids", F.array_join(uppers, " "), own, "_lw", "_rw")
+        F.concat_ws(" ", attribute_words(F.col("attrs")), "_kids", F.array_join("_uppers", " "), own, "_lw", "_rw")
     )
     neighbour = F.lower(T.collapse_space(F.coalesce("_lown", "_lt", F.lit(""))))
     return base.withColumn("_said", said).withColumn(
@@ -278,58 +275,73 @@ def descriptor_text(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     ).select(*wanted.columns, "descriptor")
 
 
-def rich_blocks(nodes: DataFrame, level: int = 5) -> DataFrame:
-    """Headings, list items, paragraphs, images in order; texts per block.
+def rich_blocks(nodes: DataFrame) -> DataFrame:
+    """Headings, list items, tables, images and paragraphs of each record, in order.
 
-    A block is named by the nearest block element above a text and the number
-    of block starts before it; an image is a block of its own, and a repeat of
-    the image right before it falls away.
+    The outermost headings, items and tables are blocks of their own, with all the text in them; outside of these a
+    paragraph is a stretch of text between block boundaries, line breaks and images. An image needs a reference, and a
+    repeat of the image right before it falls away. A table's header is its first row of header cells only. Rows:
+    (rec_id, ord, kind, text, ref, alt, header, rows).
     """
-    block = F.col("tag").isin(BLOCK_TAGS + ["img", "table"])
-    upto = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    kind_of = lambda tag: (
-        F.when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "list_item").otherwise("text")
+    shown = visible(nodes)
+    whole = F.col("tag").rlike("^(h[1-6]|li|table)$")
+    reference = F.coalesce(*[F.when(F.trim(F.col("attrs")[a]) != "", F.trim(F.col("attrs")[a])) for a in ("src", "data-src")])
+    outside = inside(shown, _in=whole).filter(~F.col("_in")).drop("_in").withColumn("ref", F.when(F.col("tag") == "img", reference))
+    cut = with_boundaries(outside, F.col("tag").isin(BLOCK_TAGS) | whole | F.col("ref").isNotNull())
+    order = Window.partitionBy("rec_id", "_block").orderBy("pre")
+    gap = F.coalesce(needs_gap(F.lag("text").over(order), F.col("text")), F.lit(False))
+    pieces = cut.filter(F.col("tag") == TEXT).withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "text"))
+    texts = pieces.groupBy("rec_id", "_block").agg(
+        F.min("pre").alias("pre"), T.collapse_space(F.expr("listagg(piece) within group (order by pre)")).alias("text")
     )
-    chain = F.filter("anc", lambda a: a["tag"].rlike("^(h[1-6]|li|p|div|td|th|section|article|body)$"))
-    nearest = F.try_element_at(chain, F.lit(-1))
-    rows = (
-        visible(nodes)
-        .withColumn("_opened", F.sum(block.cast("int")).over(upto))
-        .withColumn("_near", F.coalesce(nearest["pre"], F.lit(-1)))
-        .withColumn("_kind", F.when(F.col("tag") == "img", "image").otherwise(kind_of(F.coalesce(nearest["tag"], F.lit("")))))
-        .filter(F.col("tag").isin(TEXT, "img"))
-        .filter(~F.exists("anc", lambda a: a["tag"] == "table"))
+    none = lambda kind: F.lit(None).cast(kind)
+    wide = ("rec_id", "pre", "kind", "text", "ref", "alt", "header", "rows")
+    as_rows = lambda df, **given: df.select(
+        *[
+            (given[c] if c in given else none({"header": "array<string>", "rows": "array<array<string>>"}.get(c, "string")) if c not in ("rec_id", "pre") else F.col(c)).alias(c)
+            for c in wide
+        ]
     )
-    prior = F.lag("text").over(in_order())
-    rows = rows.withColumn("piece", F.when(needs_gap(prior, F.col("text")), F.concat(F.lit(" "), "text")).otherwise(F.coalesce("text", F.lit(""))))
-    texts = (
-        rows.groupBy("rec_id", "_opened", "_near", "_kind")
-        .agg(
-            F.min("pre").alias("pre"),
-            T.collapse_space(F.expr("listagg(piece) within group (order by pre)")).alias("text"),
-            F.max(F.coalesce(F.col("attrs")["src"], F.lit(""))).alias("ref"),
-        )
-        .filter((F.col("text") != "") | (F.col("_kind") == "image"))
+    paragraphs = as_rows(texts.filter(F.col("text") != ""), kind=F.lit("text"), text=F.col("text"))
+    alt = F.coalesce(F.when(F.col("attrs")["alt"] != "", F.col("attrs")["alt"]), F.col("attrs")["title"], F.lit(""))
+    images = as_rows(outside.filter(F.col("ref").isNotNull()), kind=F.lit("image"), ref=F.col("ref"), alt=alt)
+    said = with_texts(nodes, outside.filter(whole & (F.col("tag") != "table")).select("rec_id", "pre", "end", "tag"), "said")
+    kind = F.when(F.col("tag") == "li", "list_item").otherwise("heading")
+    titles = as_rows(said.filter(F.col("said") != ""), kind=kind, text=F.col("said"))
+    grids = table_rows(shown, outside.filter(F.col("tag") == "table"))
+    body = F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_header"), F.struct("row_pre", "cells")))), lambda x: x["cells"])
+    grids = grids.groupBy("rec_id", F.col("table_pre").alias("pre")).agg(
+        F.max(F.when(F.col("is_header"), F.col("cells"))).alias("_head"), body.alias("_body")
     )
-    order = Window.partitionBy("rec_id").orderBy("pre")
-    again = (F.col("_kind") == "image") & (F.lag("_kind").over(order) == "image") & (F.lag("ref").over(order) == F.col("ref"))
-    return (
-        texts.withColumn("_again", F.coalesce(again, F.lit(False)))
-        .filter(~F.col("_again"))
-        .withColumn("ord", F.row_number().over(order).cast("bigint"))
-        .select("rec_id", "ord", F.col("_kind").alias("kind"), "text", "ref")
+    framed = as_rows(grids, kind=F.lit("table"), header=F.col("_head"), rows=F.col("_body"))
+    every = paragraphs.unionByName(images).unionByName(titles).unionByName(framed)
+    line = Window.partitionBy("rec_id").orderBy("pre")
+    again = (F.col("kind") == "image") & (F.lag("kind").over(line) == "image") & (F.lag("ref").over(line) == F.col("ref"))
+    kept = every.withColumn("_again", F.coalesce(again, F.lit(False))).filter(~F.col("_again"))
+    kept = kept.withColumn("ord", F.row_number().over(line).cast("bigint"))
+    return kept.select("rec_id", "ord", "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("ref", F.lit("")).alias("ref"), "alt", "header", "rows")
+
+
+def table_rows(nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """Rows under the nearest of the given tables, cells being the children of a row: (rec_id, table_pre, row_pre, is_header, cells)."""
+    lines = stack_join(nodes.filter(F.col("tag") == "tr").select("rec_id", "pre"), owners, "table_pre")
+    cells = nodes.filter(F.col("tag").isin("td", "th")).select("rec_id", "pre", "end", "tag", F.col("parent").alias("row_pre"))
+    texts = with_texts(nodes, cells, "cell").join(lines.withColumnRenamed("pre", "row_pre"), ["rec_id", "row_pre"])
+    rows = texts.groupBy("rec_id", "table_pre", "row_pre").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pre", "cell"))), lambda x: x["cell"]).alias("cells"),
+        F.bool_and(F.col("tag") == "th").alias("all_header"),
     )
+    head = F.min(F.when(F.col("all_header"), F.col("row_pre"))).over(Window.partitionBy("rec_id", "table_pre"))
+    return rows.withColumn("is_header", F.coalesce(head == F.col("row_pre"), F.lit(False))).drop("all_header")
 
 
 def tables(nodes: DataFrame) -> DataFrame:
     """Cells of each table as rows; header = first row of header cells only."""
     cells = nodes.filter(F.col("tag").isin("td", "th"))
-    texts = with_texts(nodes, cells, "cell")
-    last_pre = lambda tag: F.try_element_at(F.filter("anc", lambda a: a["tag"] == tag), F.lit(-1))["pre"]
+    texts = with_texts(nodes, cells.select("rec_id", "pre", "end", "tag"), "cell")
+    in_row = stack_join(texts, nodes.filter(F.col("tag") == "tr"), "row_pre")
     rows = (
-        texts.withColumn("table_pre", last_pre("table"))
-        .withColumn("row_pre", last_pre("tr"))
-        .filter(F.col("table_pre").isNotNull() & F.col("row_pre").isNotNull())
+        stack_join(in_row, nodes.filter(F.col("tag") == "table"), "table_pre")
         .groupBy("rec_id", "table_pre", "row_pre")
         .agg(
             F.transform(F.sort_array(F.collect_list(F.struct("pre", "cell"))), lambda x: x["cell"]).alias("cells"),
@@ -344,11 +356,8 @@ def tables(nodes: DataFrame) -> DataFrame:
 
 def link_only(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Elements all of whose visible words are inside links."""
-    under = visible(nodes).filter((F.col("tag") == TEXT) & (F.trim("text") != "")).select(
-        "rec_id",
-        F.exists("anc", lambda a: a["tag"] == "a").alias("linked"),
-        F.explode(F.transform("anc", lambda a: a["pre"])).alias("e_pre"),
-    )
+    words = inside(visible(nodes), linked=F.col("tag") == "a").filter((F.col("tag") == TEXT) & (F.trim("text") != ""))
+    under = stack_join(words.select("rec_id", "pre", "linked"), wanted, "e_pre", every=True)
     flags = under.groupBy("rec_id", F.col("e_pre").alias("pre")).agg(F.bool_and("linked").alias("link_only"))
     return wanted.join(flags, ["rec_id", "pre"], "left").withColumn(
         "link_only", F.coalesce("link_only", F.lit(False))

@@ -17,6 +17,7 @@ from lemmaforge.functions import keys as K
 from lemmaforge.functions import text as T
 from lemmaforge.functions.markup import TEXT
 from lemmaforge.operators import nodes as N
+from lemmaforge.operators.intervals import heights, inside, stack_join
 
 SENSES = (
     "rec_id long, part_ord int, path array<int>, number string, definition string, translation string, "
@@ -470,23 +471,24 @@ def page_markdown(nodes: DataFrame) -> DataFrame:
     begun by the last block boundary; blocks get the prefix of their heading or
     list item, bold, italics and links wrap runs of text, blank lines collapse.
     """
-    chrome = F.col("tag").isin(CHROME) | F.exists("anc", lambda a: a["tag"].isin(CHROME))
-    hidden = N.hides(F.col("attrs")) | F.exists("anc", lambda a: N.hides(a["attrs"]))
-    shown = nodes.filter(~chrome & ~hidden)
+    shown = N.without(nodes, F.col("tag").isin(CHROME) | N.hides(F.col("attrs")))
+    tagged = lambda *tags: F.col("tag").isin(*tags)
+    styled_in = inside(shown, _bold=tagged("b", "strong"), _headed=F.col("tag").rlike("^h[1-6]$"), _italic=tagged("i", "em"))
     is_block = F.col("tag").isin(LAYOUT_BLOCKS)
-    upto = N.in_order().rowsBetween(Window.unboundedPreceding, 0)
-    blocks_above = F.filter("anc", lambda a: a["tag"].isin(LAYOUT_BLOCKS))
-    near = F.coalesce(F.try_element_at(blocks_above, F.lit(-1))["pre"], F.lit(-1))
-    rows = (
-        shown.withColumn("_opened", F.sum(is_block.cast("int")).over(upto))
-        .withColumn("_near", near)
-        .filter(F.col("tag").isin(TEXT, "br", "img"))
-    )
-    inside = lambda tags: F.exists("anc", lambda a: a["tag"].isin(tags))
-    bold = inside(["b", "strong"]) & ~F.exists("anc", lambda a: a["tag"].rlike("^h[1-6]$"))
-    italic = inside(["i", "em"])
-    anchor = F.try_element_at(F.filter("anc", lambda a: a["tag"] == "a"), F.lit(-1))
-    href = F.coalesce(anchor["attrs"]["href"], F.lit(""))
+    rows = N.with_boundaries(styled_in, is_block).filter(F.col("tag").isin(TEXT, "br", "img"))
+    # what the rows stand in: link, heading, item, lists; and how far their parent reaches
+    places = rows.select("rec_id", "pre")
+    said = shown.select("rec_id", F.col("pre").alias("_up"), F.col("tag").alias("_uptag"), F.coalesce(F.col("attrs")["href"], F.lit("")).alias("_uphref"))
+    near = lambda name, hit: stack_join(places, shown.filter(hit), name)
+    links = near("_up", tagged("a")).join(said, ["rec_id", "_up"]).select("rec_id", "pre", F.col("_up").alias("_a"), F.col("_uphref").alias("_href"))
+    heads = near("_up", F.col("tag").rlike("^h[1-6]$")).join(said, ["rec_id", "_up"]).select("rec_id", "pre", F.col("_uptag").alias("_h"))
+    rows = rows.join(links, ["rec_id", "pre"], "left").join(heads, ["rec_id", "pre"], "left")
+    rows = rows.join(near("_li", tagged("li")), ["rec_id", "pre"], "left")
+    rows = heights(rows, shown.filter(tagged("ul", "ol")), "_depth")
+    rows = rows.join(shown.select("rec_id", F.col("pre").alias("parent"), F.col("end").alias("_parent_end")), ["rec_id", "parent"], "left")
+    bold = F.col("_bold") & ~F.col("_headed")
+    italic = F.col("_italic")
+    href = F.coalesce("_href", F.lit(""))
     web = F.when(href.rlike("(?i)^https?://"), href).otherwise("")
     image = F.when(
         F.col("attrs")["src"].rlike("(?i)^https?://"),
@@ -496,21 +498,19 @@ def page_markdown(nodes: DataFrame) -> DataFrame:
         F.regexp_replace(F.regexp_replace("text", f"{T.BLANK}+", " "), r"([\\`*_\[\]<>])", r"\\$1")
     )
     # a run is a stretch of one block with one style and link; it is wrapped once
-    run = F.struct(bold.alias("b"), italic.alias("i"), web.alias("w"), F.coalesce(anchor["pre"], F.lit(-1)).alias("a"))
+    run = F.struct(bold.alias("b"), italic.alias("i"), web.alias("w"), F.coalesce("_a", F.lit(-1)).alias("a"))
     styled = rows.withColumn("_run", run).withColumn("_piece", piece)
-    order = Window.partitionBy("rec_id", "_opened", "_near").orderBy("pre")
+    order = Window.partitionBy("rec_id", "_block").orderBy("pre")
     prior = F.lag("text").over(order)
     # words merge only where both texts are wrapped: two inline elements side by side
-    uppers = F.transform("anc", lambda a: a["pre"])
-    wrapped = ~F.array_contains("_uppers", F.lag("parent").over(order)) & ~F.array_contains(F.lag("_uppers").over(order), F.col("parent"))
-    styled = styled.withColumn("_uppers", uppers)
+    wrapped = (F.lag("_parent_end").over(order) < F.col("pre")) & (F.lag("pre").over(order) < F.col("parent"))
     gap = F.coalesce(wrapped & N.needs_gap(prior, F.col("text")) & ~(prior.rlike(r"\p{L}$") & F.col("text").rlike(r"^\p{Nd}")), F.lit(False))
     turned = F.coalesce(F.lag("_run").over(order) != F.col("_run"), F.lit(True)) | (F.col("tag") != TEXT)
     numbered = styled.withColumn("_gap", gap).withColumn("_r", F.sum(turned.cast("int")).over(order))
-    runs = numbered.groupBy("rec_id", "_opened", "_near", "_r").agg(
+    runs = numbered.groupBy("rec_id", "_block", "_r").agg(
         F.min("pre").alias("pre"),
         F.first("_run").alias("_run"),
-        F.first("anc").alias("anc"),
+        *[F.min_by(c, "pre").alias(c) for c in ("_h", "_li", "_depth")],
         F.min_by("_gap", "pre").alias("_gap"),
         F.array_join(
             F.transform(
@@ -525,15 +525,10 @@ def page_markdown(nodes: DataFrame) -> DataFrame:
     linked = F.when(F.col("_run.w") != "", F.concat(F.lit("["), core, F.lit("]("), "_run.w", F.lit(")"))).otherwise(core)
     mark = F.concat(F.when(F.col("_run.b"), "**").otherwise(""), F.when(F.col("_run.i"), "*").otherwise(""))
     wrapped = F.when(core.isin("", "\n"), core).otherwise(F.concat(mark, linked, F.reverse(mark)))
-    heading = F.try_element_at(F.filter("anc", lambda a: a["tag"].rlike("^h[1-6]$")), F.lit(-1))
-    item = F.try_element_at(F.filter("anc", lambda a: a["tag"] == "li"), F.lit(-1))
-    lists = F.size(F.filter("anc", lambda a: a["tag"].isin("ul", "ol")))
     joined_runs = (
         runs.withColumn("w", F.concat(lead, wrapped, tail))
-        .withColumn("_h", heading["tag"])
-        .withColumn("_li", F.coalesce(item["pre"], F.lit(-1)))
-        .withColumn("_depth", lists)
-        .groupBy("rec_id", "_opened", "_near")
+        .withColumn("_li", F.coalesce("_li", F.lit(-1)))
+        .groupBy("rec_id", "_block")
         .agg(
             F.min("pre").alias("pre"),
             F.max("_h").alias("h"),

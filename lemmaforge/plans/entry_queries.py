@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmaforge.functions import text as T
 from lemmaforge.functions import vocab as V
+from lemmaforge.operators import entries as X
 from lemmaforge.operators import metrics as M
 from lemmaforge.operators import nodes as N
 from lemmaforge.operators import pronounce as P
@@ -33,6 +34,11 @@ def entry_pages(spark, sf_dir):
     )
 
 
+def entry_records(spark, sf_dir):
+    """The same pages as records of the entry pipeline."""
+    return entry_pages(spark, sf_dir).select("rec_id", F.col("rec_id").cast("string").alias("key"), "content")
+
+
 FLAT = r"trim(regexp_replace(t, '[\s\x{a0}\x{200b}\x{feff}]+', ' ', 'g'))"
 
 
@@ -77,11 +83,42 @@ def profile_senses(spark, sf_dir):
     return got.groupBy("rec_id", "definition").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e18_generic_senses")
+NUMBER = r"'^[(（\[]?(\d{1,2}(?:\.\d{1,2})?)[.)）\]、]\s*(.+)$'"
+SENSES = rf"""{LINES}, own AS (SELECT doc_id AS rec_id, i, {FLAT} AS own FROM f1 WHERE kind = 'definition' AND length({FLAT}) >= 3),
+built AS (SELECT rec_id, i, nullif(regexp_extract(own, {NUMBER}, 1), '') AS number,
+  CASE WHEN regexp_matches(own, {NUMBER}) THEN regexp_extract(own, {NUMBER}, 2) ELSE own END AS definition FROM own)"""
+
+
+@query(
+    "e18_generic_senses",
+    f"""WITH {SENSES} SELECT rec_id, number, definition, NULL::VARCHAR AS translation, 0.75::DOUBLE AS confidence, count(*) AS n FROM built GROUP BY ALL""",
+)
 def generic_senses(spark, sf_dir):
     nodes = N.html_nodes(entry_pages(spark, sf_dir))
     elements = E.annotated(nodes)
-    return E.generic_senses(nodes, elements, E.sense_nodes(elements)).select("rec_id", "pre", "number", "definition", "translation", "confidence")
+    got = E.generic_senses(nodes, elements, E.sense_nodes(elements))
+    return got.groupBy("rec_id", "number", "definition", "translation", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "e26_entry_senses",
+    f"""WITH {SENSES} SELECT rec_id, 0 AS part_ord, (row_number() OVER (PARTITION BY rec_id ORDER BY i))::INTEGER AS place, number, definition FROM built""",
+)
+def entry_senses(spark, sf_dir):
+    """Senses of whole documents through all steps of the entry pipeline."""
+    got = X.parse_records(entry_records(spark, sf_dir)).senses.filter("rule = 'generic:senseHints'")
+    return got.select("rec_id", "part_ord", F.col("path")[0].alias("place"), "number", "definition")
+
+
+@query(
+    "e15_entry_sections",
+    f"""WITH {LINES}, s AS (SELECT doc_id AS rec_id, 'usageNote' AS kind, 'Usage' AS title, {FLAT} AS body, i FROM f1 WHERE kind = 'section')
+SELECT rec_id, kind, title, body, count(*) AS n FROM s GROUP BY ALL""",
+)
+def entry_sections(spark, sf_dir):
+    """Sections under headings, of records that have any."""
+    got = X.parse_records(entry_records(spark, sf_dir)).sections.filter("kind = 'usageNote'")
+    return got.groupBy("rec_id", "kind", "title", "body").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e24_sibling_runs")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lemmaforge.operators import metrics as M
 from lemmaforge.plans.registry import query, table
 from lemmaforge.plans.validate_queries import COMPARED, _rejected, checked, with_fields
-from lemmaforge.session import work_folder
+from lemmaforge.session import cut_lineage, work_folder
 from lemmaforge.streaming import navigation as N
 
 GAP = 8 * 3600
@@ -63,7 +63,21 @@ def _back_steps(spark, sf_dir):
     return N.steps_of(events(spark, sf_dir)).withColumn("back", F.col("to_page") == "error")
 
 
-@query("n03_back_steps")
+@query(
+    "n03_back_steps",
+    f"""WITH RECURSIVE {STEPS},
+s AS (SELECT user_id, step_id, from_page, to_page, fresh, row_number() OVER (PARTITION BY user_id ORDER BY ts, step_id) AS n FROM fl),
+w AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS step_id, []::VARCHAR[] AS path FROM s
+  UNION ALL
+  SELECT user_id, n, step_id, CASE WHEN to_page = 'error' THEN CASE WHEN len(p) >= 2 AND p[-2] = to_page THEN p[:len(p) - 1] ELSE [to_page] END
+    ELSE (CASE WHEN q[-1] = to_page THEN q ELSE list_append(q, to_page) END)[-50:] END
+  FROM (SELECT *, CASE WHEN len(p) = 0 OR p[-1] <> from_page THEN [from_page] ELSE p END AS q
+    FROM (SELECT s.user_id, s.n, s.step_id, s.from_page, s.to_page, CASE WHEN s.fresh = 1 THEN []::VARCHAR[] ELSE w.path END AS p
+      FROM w JOIN s ON s.user_id = w.user_id AND s.n = w.n + 1))
+)
+SELECT user_id, step_id, len(path)::INTEGER AS length, CASE WHEN len(path) > 1 THEN path[-2] END AS previous FROM w WHERE n > 0""",
+)
 def back_steps(spark, sf_dir):
     return N.stack_batch(_back_steps(spark, sf_dir), GAP).select("user_id", "step_id", "length", "previous")
 
@@ -91,7 +105,8 @@ def session_stream(spark, sf_dir):
 def incremental_validation(spark, sf_dir):
     """Documents arrive as a stream; each batch is compared with the earlier run."""
     zero = F.lit(0)
-    baseline = M.snapshots(checked(spark, sf_dir, "before")).withColumn("failures", zero)
+    # written once: every batch is compared with it
+    baseline = cut_lineage(M.snapshots(checked(spark, sf_dir, "before")).withColumn("failures", zero))
     source = N.read_stream(spark, sf_dir, "documents.parquet", table(spark, sf_dir, "documents").schema)
     base = f"{work_folder(spark)}/n05-{uuid.uuid4().hex}"
 
@@ -103,7 +118,7 @@ def incremental_validation(spark, sf_dir):
             F.col("doc_id").cast("string").alias("key"),
             F.col("text").alias("source_text"),
             F.concat_ws(" ", "source", "text").alias("record_text"),
-            F.filter(F.array_distinct("fields"), lambda f: F.length(f["text"]) >= 25).alias("fields"),
+            F.array_distinct("fields").alias("fields"),
         )
         kept = records.join(_rejected(spark, sf_dir), "rec_id", "left_anti")
         return M.snapshots(kept).withColumn("failures", zero)

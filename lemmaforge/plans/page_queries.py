@@ -100,7 +100,7 @@ def selector_match(spark, sf_dir):
     nodes = page_nodes(spark, sf_dir)
     links = N.matching(nodes, "nav li a[href^=/], nav ul li a[, #none .x")
     return (
-        N.with_texts(nodes, links.select("rec_id", "pre", F.col("attrs")["href"].alias("href")), "words")
+        N.with_texts(nodes, links.select("rec_id", "pre", "end", F.col("attrs")["href"].alias("href")), "words")
         .groupBy("rec_id", "href", "words")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -112,7 +112,7 @@ def selector_match(spark, sf_dir):
 )
 def outermost_blocks(spark, sf_dir):
     nodes = page_nodes(spark, sf_dir)
-    hits = N.outermost(nodes, N.selector("nav, nav li, nav a, article, article p, footer, div.ad"))
+    hits = N.outermost(nodes, "nav, nav li, nav a, article, article p, footer, div.ad")
     return hits.groupBy("rec_id").agg(F.count(F.lit(1)).alias("outer_blocks"))
 
 
@@ -179,8 +179,8 @@ def headword(spark, sf_dir):
     rf"""WITH a AS (SELECT page_id AS rec_id, {text_sql("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")} AS t FROM pages),
 i AS (SELECT rec_id, unnest(string_split_regex(t, '[,;，、|]')) AS v, generate_subscripts(string_split_regex(t, '[,;，、|]'), 1) AS p FROM a),
 c AS (SELECT rec_id, p, trim(regexp_replace(trim(v), '^[ .:]+|[ .:]+$', '', 'g')) AS value FROM i),
-r AS (SELECT rec_id, value, row_number() OVER (PARTITION BY rec_id ORDER BY p) AS ord FROM c WHERE value <> '' AND length(value) <= 60)
-SELECT rec_id, ord, value FROM r WHERE ord <= 20""",
+r AS (SELECT rec_id, value, row_number() OVER (PARTITION BY rec_id ORDER BY p) AS ord FROM c WHERE value <> '')
+SELECT rec_id, ord::INTEGER AS ord, value FROM r""",
 )
 def listed_items(spark, sf_dir):
     return S.listed_items(page_nodes(spark, sf_dir), N.class_token(["ad"]))
@@ -189,7 +189,7 @@ def listed_items(spark, sf_dir):
 @query(
     "e31_fallback_section",
     f"""WITH t AS (SELECT page_id AS rec_id, {text_sql(BODY)} AS text FROM pages)
-SELECT rec_id, 'Entry' AS title, CASE WHEN length(text) > 4000 THEN text[1:4000] || ' …' ELSE text END AS body FROM t WHERE text <> ''""",
+SELECT rec_id, 'Entry' AS title, text AS body, 0::BIGINT AS dropped FROM t WHERE text <> ''""",
 )
 def fallback_section(spark, sf_dir):
     return S.fallback_sections(N.visible_text(page_nodes(spark, sf_dir)))
@@ -229,9 +229,9 @@ def enumeration_markers(spark, sf_dir):
     "e21_plausible_sequences",
     """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, (l_suppkey % 4 + 1)::BIGINT AS major, CASE WHEN l_returnflag = 'R' THEN 'letter' ELSE 'arabic' END AS kind FROM lineitem),
 s AS (SELECT *, lag(major) OVER w AS prior, first_value(major) OVER w AS first FROM m WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice))
-SELECT l_orderkey, count(*) AS markers, count(*) BETWEEN 2 AND 200 AND count(DISTINCT kind) = 1 AND any_value(first) <= 3
+SELECT l_orderkey, count(*) AS markers, count(*) >= 2 AND count(DISTINCT kind) = 1 AND any_value(first) <= 3
   AND coalesce(bool_or(major > prior), false) AND count(DISTINCT major) >= 2 AND coalesce(bool_and(major = first) FILTER (WHERE major < prior), true)
-  AND count(*) >= 2 * (count(*) FILTER (WHERE major < prior) + 1) AS plausible FROM s GROUP BY l_orderkey""",
+  AND count(*) >= 2 * (count(*) FILTER (WHERE major < prior) + 1) AS plausible, false AS bounded FROM s GROUP BY l_orderkey""",
 )
 def plausible_sequences(spark, sf_dir):
     markers = table(spark, sf_dir, "lineitem").select(
@@ -276,8 +276,8 @@ def stride_sample(spark, sf_dir):
     return D.stride_sample(records, 10)
 
 
-SCORE_SQL = r"""(least(len(list_distinct(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)[:400])), 12)
- + least(len(list_distinct(list_filter(string_split_regex(array_to_string(regexp_extract_all(lower(html), 'class\s*=\s*"([^"]*)"', 1)[:400], ' '), '\s+'), lambda x: x <> ''))), 20)
+SCORE_SQL = r"""(least(len(list_distinct(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1))), 12)
+ + least(len(list_distinct(list_filter(string_split_regex(array_to_string(regexp_extract_all(lower(html), 'class\s*=\s*"([^"]*)"', 1), ' '), '\s+'), lambda x: x <> ''))), 20)
  + least(strlen(html) // 512, 10) + CASE WHEN len(regexp_extract_all(lower(html), 'class="ad"')) >= 3 THEN 1 ELSE 0 END
  + CASE WHEN regexp_matches(lower(html), 'sound://|snd://|\.mp3|\.spx|\.wav|\.ogg') THEN 3 ELSE 0 END
  + CASE WHEN contains(lower(html), 'entry://') OR contains(lower(html), '<a ') THEN 2 ELSE 0 END)::BIGINT"""
@@ -381,15 +381,9 @@ def family_report(spark, sf_dir):
 
 def _page_entries(spark, sf_dir):
     """Counts per page: link items as senses where plenty, words in bold as examples."""
-    nodes = page_nodes(spark, sf_dir, False)
-    flag = lambda sel: F.count_if(N.selector(sel))
-    counted = nodes.groupBy("dict_id", "rec_id").agg(
-        flag("article h1").alias("n_headwords"),
-        flag("nav li").alias("_li"),
-        flag("article p").alias("_p"),
-        flag("b").alias("n_examples"),
-        flag("nav a").alias("n_cross"),
-    )
+    counted_as = {"n_headwords": "article h1", "_li": "nav li", "_p": "article p", "n_examples": "b", "n_cross": "nav a"}
+    nodes = N.marked(page_nodes(spark, sf_dir), **counted_as)
+    counted = nodes.groupBy("dict_id", "rec_id").agg(*[F.count_if(c).alias(c) for c in counted_as])
     many = F.col("_p") >= 6
     return counted.withColumn("n_senses", F.when(many, F.col("_p")).otherwise(0).cast("bigint")).withColumns(
         {

@@ -11,6 +11,7 @@ from lemmaforge.operators import metrics as M
 from lemmaforge.operators import nodes as N
 from lemmaforge.operators import render as R
 from lemmaforge.operators import style as S
+from lemmaforge.operators.intervals import inside
 from lemmaforge.plans.page_queries import page_nodes, page_records, text_sql
 from lemmaforge.plans.registry import query, table
 from lemmaforge.plans.validate_queries import LINES, checked, documents, with_fields
@@ -274,7 +275,8 @@ def _styled_nodes(spark, sf_dir):
     content = F.replace("content", F.lit("<style>p{margin:0}</style>"), F.lit(f"<style>{STYLE}</style>"))
     nodes = N.html_nodes(page_records(spark, sf_dir).withColumn("content", content))
     sheets = (
-        nodes.filter((F.col("tag") == TEXT) & F.exists("anc", lambda a: a["tag"] == "style"))
+        inside(nodes, _sheet=F.col("tag") == "style")
+        .filter((F.col("tag") == TEXT) & F.col("_sheet"))
         .select("dict_id", F.col("text").alias("css"))
         .distinct()
         .withColumn("sheet_ord", F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lemmaforge.functions.keys import fold_key
 from lemmaforge.operators import ranking
+from lemmaforge.session import cut_lineage
 
 IDLE_SECONDS = 30 * 60
 ARRIVAL_SECONDS = 30
@@ -119,16 +121,19 @@ def previous_pages(steps: DataFrame, lookups: DataFrame, idle: int = IDLE_SECOND
     )
 
 
+def same_page(a: str, b: str) -> bool:
+    return a.strip().lower() == b.strip().lower()
+
+
 def take_step(path: list[str], source: str, target: str, back: bool) -> list[str]:
     """The path after one step; a step back pops or starts over."""
-    same = lambda a, b: a.strip().lower() == b.strip().lower()
     if back:
-        if len(path) >= 2 and same(path[-2], target):
+        if len(path) >= 2 and same_page(path[-2], target):
             return path[:-1]
         return [target]
-    if not path or not same(path[-1], source):
+    if not path or not same_page(path[-1], source):
         path = [source]
-    if not same(path[-1], target):
+    if not same_page(path[-1], target):
         path = [*path, target]
     return path[-DEPTH:]
 
@@ -136,12 +141,74 @@ def take_step(path: list[str], source: str, target: str, back: bool) -> list[str
 STACK = "user_id long, ts timestamp, step_id long, length int, previous string"
 
 
+class Stretch:
+    """What a run of steps does to a path it does not know yet.
+
+    Going on, steps only look at the pages the path ends with. So the run either leaves all but `pops` of the unknown path
+    and puts `pushed` behind, or it meets a page it did not expect: then it starts over, and what follows is known. Each
+    `check` is a page looked for at a place from the end, with the height reached until then and the path that results
+    if it is not there. Runs are applied one after another, so a run of runs is one again.
+    """
+
+    def __init__(self) -> None:
+        self.pops, self.pushed, self.peak = 0, [], 0
+        self.checks: list[tuple[int, str, int, list[str]]] = []
+        self.known: list[str] | None = None  # once the run has started over for certain
+
+    def step(self, source: str, target: str, back: bool) -> None:
+        for _, _, _, path in self.checks:
+            path[:] = take_step(path, source, target, back)
+        if self.known is not None:
+            self.known = take_step(self.known, source, target, back)
+            return
+        if back:
+            if len(self.pushed) >= 2:
+                if same_page(self.pushed[-2], target):
+                    self.pushed.pop()
+                else:
+                    self.known = [target]
+                return
+            # the page before the last one lies in the unknown path
+            self._expect(target, 2 - len(self.pushed), [target])
+            if self.pushed:
+                self.pushed.pop()
+            else:
+                self.pops += 1
+            return
+        if self.pushed:
+            if not same_page(self.pushed[-1], source):
+                self.known = take_step([], source, target, False)
+                return
+        else:
+            self._expect(source, 1, take_step([], source, target, False))
+        if not same_page(self.pushed[-1] if self.pushed else source, target):
+            self.pushed.append(target)
+            self.peak = max(self.peak, len(self.pushed) - self.pops)
+            if len(self.pushed) >= DEPTH:
+                self.known = self.pushed[-DEPTH:]  # nothing of the unknown path is left
+
+    def _expect(self, page: str, place: int, otherwise: list[str]) -> None:
+        """`page` stands at this place from the end of what is left of the unknown path."""
+        self.checks.append((self.pops + place, page, self.peak, list(otherwise)))
+
+    def apply(self, path: list[str]) -> list[str]:
+        """The path after the run, from the one before it."""
+        for place, page, peak, otherwise in self.checks:
+            lost = max(0, len(path) + peak - DEPTH)
+            if len(path) - place < lost or not same_page(path[len(path) - place], page):
+                return otherwise
+        if self.known is not None:
+            return self.known
+        lost = max(0, len(path) + self.peak - DEPTH)
+        return (path[lost : len(path) - self.pops] + self.pushed)[-DEPTH:]
+
+
 def stack_batch(steps: DataFrame, idle: int = IDLE_SECONDS) -> DataFrame:
     """N3 on stored steps (with `back`).
 
-    Steps are placed by user and idle-parted session and read in order, batch
-    by batch, with the stack of the session at hand: no group is ever held as
-    a whole, and the sessions of a busy user spread over the tasks.
+    A session is cut into stretches of time, and the steps of a stretch are read by one task, in order, batch by batch.
+    First each stretch is summed up in one row; the rows of a session, applied one after another, give the path before
+    each stretch; then the stretches are walked from there. So an endless session spreads over the tasks.
     """
     placed = steps.withColumn("_at", F.struct("ts", "step_id"))
     before = ranking.with_previous(placed, ["user_id"], "_at", ["ts"], stretch_of())
@@ -150,27 +217,54 @@ def stack_batch(steps: DataFrame, idle: int = IDLE_SECONDS) -> DataFrame:
         before.withColumn("fresh", fresh.cast("int")).drop("prev"),
         ["user_id"], "_at", name="_n", sums={"_s": F.col("fresh")}, stretch=stretch_of(),
     ).withColumn("session", F.col("_s") + F.col("fresh"))
+    keys = ["user_id", "session", "stretch"]
+    sessions = cut_lineage(sessions.withColumn("stretch", stretch_of()).select(*keys, "ts", "step_id", "from_page", "to_page", "back"))
+    ordered = sessions.repartition(*keys).sortWithinPartitions(*keys, "ts", "step_id")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, run = None, Stretch()
+        for batch in batches:
+            done = []
+            for *key, source, target, back in zip(*(batch[c] for c in (*keys, "from_page", "to_page", "back"))):
+                if key != at:
+                    if at is not None:
+                        done.append((*at, pickle.dumps(run)))
+                    at, run = key, Stretch()
+                run.step(source, target, bool(back))
+            yield pd.DataFrame(done, columns=[*keys, "run"])
+        if at is not None:
+            yield pd.DataFrame([(*at, pickle.dumps(run))], columns=[*keys, "run"])
+
+    runs = ordered.mapInPandas(sum_up, "user_id long, session long, stretch long, run binary")
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, path = None, []
         for batch in batches:
-            lengths, previous = [], []
-            for user, session, source, target, back in zip(
-                batch.user_id, batch.session, batch.from_page, batch.to_page, batch.back
-            ):
+            found = []
+            for user, session, run in zip(batch.user_id, batch.session, batch.run):
                 if (user, session) != at:
                     at, path = (user, session), []
+                found.append(path)
+                path = pickle.loads(run).apply(path)
+            yield batch[keys].assign(start=found)
+
+    begun = runs.repartition("user_id", "session").sortWithinPartitions(*keys)
+    begun = begun.mapInPandas(starts, "user_id long, session long, stretch long, start array<string>")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, path = None, []
+        for batch in batches:
+            lengths, previous = [], []
+            for *key, source, target, back, start in zip(*(batch[c] for c in (*keys, "from_page", "to_page", "back", "start"))):
+                if key != at:
+                    at, path = key, list(start)
                 path = take_step(path, source, target, bool(back))
                 lengths.append(len(path))
                 previous.append(path[-2] if len(path) > 1 else None)
             yield batch[["user_id", "ts", "step_id"]].assign(length=lengths, previous=previous)
 
-    return (
-        sessions.select("user_id", "session", "ts", "step_id", "from_page", "to_page", "back")
-        .repartition("user_id", "session")
-        .sortWithinPartitions("user_id", "session", "ts", "step_id")
-        .mapInPandas(walk, STACK)
-    )
+    walked = sessions.join(begun, keys).repartition(*keys).sortWithinPartitions(*keys, "ts", "step_id")
+    return walked.mapInPandas(walk, STACK)
 
 
 class StepStack(StatefulProcessor):
@@ -190,13 +284,15 @@ class StepStack(StatefulProcessor):
             stored = self.path.get()
             pages, updated = list(stored[0]), pd.Timestamp(stored[1])
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "step_id"]).itertuples():
-            now = pd.Timestamp(r.ts)
+        # the rows of one user in one batch come in any order
+        columns = ("ts", "step_id", "from_page", "to_page", "back")
+        for ts, step_id, source, target, back in sorted(r for frame in rows for r in zip(*(frame[c] for c in columns))):
+            now = pd.Timestamp(ts)
             if updated is not None and (now - updated).total_seconds() > self.idle:
                 pages = []
-            pages = take_step(pages, r.from_page, r.to_page, bool(r.back))
+            pages = take_step(pages, source, target, bool(back))
             updated = now
-            out.append((key[0], r.ts, r.step_id, len(pages), pages[-2] if len(pages) > 1 else None))
+            out.append((key[0], ts, step_id, len(pages), pages[-2] if len(pages) > 1 else None))
         self.path.update((pages, updated.to_pydatetime()))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)

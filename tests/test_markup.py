@@ -21,7 +21,7 @@ def test_selectors(spark):
     ]:
         assert N.matching(nodes, raw).count() == n, raw
     nested = nodes_of(spark, "<div><div><div>x</div></div></div><div>y</div>")
-    assert N.outermost(nested, N.selector("div")).count() == 2
+    assert N.outermost(nested, "div").count() == 2
     assert N.visible_text(N.without(nodes, "p")).first()["text"] == "y"
     assert N.visible_text(N.scoped(nodes, "div", ".none")).first()["text"] == "x"
 
@@ -44,11 +44,29 @@ def test_text_joining(spark):
 def test_blocks_and_tables(spark):
     nodes = nodes_of(spark, '<h2>Head</h2><p>text <img src="a.png"></p><img src="a.png"><ul><li>item</li></ul><table><tr><th>k<th>v<tr><td>1<td>2</table>')
     assert rows(N.rich_blocks(nodes), "ord", "kind", "text", "ref") == [
-        (1, "heading", "Head", ""), (2, "text", "text", ""), (3, "image", "", "a.png"), (4, "list_item", "item", ""),
+        (1, "heading", "Head", ""), (2, "text", "text", ""), (3, "image", "", "a.png"), (4, "list_item", "item", ""), (5, "table", "", ""),
     ]
+    grid = N.rich_blocks(nodes).filter("kind = 'table'").first()
+    assert (grid.header, grid.rows) == (["k", "v"], [["1", "2"]])
     assert rows(N.tables(nodes), "is_header", "cells") == [(False, ["1", "2"]), (True, ["k", "v"])]
 
 
+def test_rich_blocks_keep_items_tables_and_images_whole(spark):
+    nodes = nodes_of(
+        spark,
+        "<div>a<br>b<img src=' '><img data-src='x.png' title='X'>c<b>d</b></div><ul><li>one<ul><li>deep <img src='n.png'></li></ul></li></ul>",
+        "<table><tr><td>1<td>2<tr><th>h</table><table></table><p hidden>z</p><script>no</script><h3> </h3>",
+        "<p>漢<i>字</i></p><p style='display:none'>gone</p>",
+        "",
+    )
+    assert rows(N.rich_blocks(nodes), "rec_id", "ord", "kind", "text", "ref", "alt", "header", "rows") == [
+        (1, 1, "text", "a", "", None, None, None), (1, 2, "text", "b", "", None, None, None), (1, 3, "image", "", "x.png", "X", None, None),
+        (1, 4, "text", "c d", "", None, None, None), (1, 5, "list_item", "one deep", "", None, None, None),
+        (2, 1, "table", "", "", None, ["h"], [["1", "2"]]), (2, 2, "text", "z", "", None, None, None),
+        (3, 1, "text", "漢字", "", None, None, None),
+    ]
+
+
 def test_page_markdown(spark):
     cases = {
         "<p><b>noun</b> <i>pl</i></p><h2>Head *x*</h2>text<br>more": "**noun** *pl*\n\n## Head \\*x\\*\n\ntext  \nmore",
