@@ -4,7 +4,9 @@ import os
 
 from lemmaforge.operators import diagnose as D
 from lemmaforge.operators import render as R
+from lemmaforge.operators import nodes as N
 from lemmaforge.operators import senses as E
+from lemmaforge.operators import structure as S
 from lemmaforge.session import work_folder
 from lemmaforge.sources import corpus as C
 from tests.conftest import rows
@@ -42,3 +44,28 @@ def test_an_application_has_one_work_folder(spark):
     folder = work_folder(spark)
     assert folder == work_folder(spark) and spark.sparkContext.applicationId in folder
     assert os.path.isdir(folder.removeprefix("file:"))
+
+
+def test_bounds_are_off_unless_set_and_count_what_they_drop(spark):
+    blocks = "".join(f'<div class="x">word{i}, {"long" * 20}{i}</div>' for i in range(8))
+    nodes = N.html_nodes(spark.createDataFrame([(1, blocks), (2, '<div class="x">a; b</div>')], "rec_id long, content string")).cache()
+    hit = N.class_token(["x"])
+    assert S.listed_items(nodes, hit).count() == 18 and S.dropped_items(nodes, hit).count() == 0
+    bounds = {"max_blocks": 9, "max_length": 60, "max_items": 5}
+    assert rows(S.listed_items(nodes, hit, **bounds), "rec_id", "value") == [(1, f"word{i}") for i in range(5)] + [(2, "a"), (2, "b")]
+    assert rows(S.dropped_items(nodes, hit, **bounds), "rec_id", "dropped") == [(1, 11)]
+    assert rows(S.dropped_items(nodes, hit, max_blocks=6), "rec_id", "dropped") == [(1, 16)]
+    long = "x" * 5000
+    texts = spark.createDataFrame([(1, long), (2, "short"), (3, "")], "rec_id long, text string")
+    assert rows(S.fallback_sections(texts), "rec_id", "body", "dropped") == [(1, long, 0), (2, "short", 0)]
+    assert [(r.rec_id, len(r.body) < 4010, r.dropped) for r in S.fallback_sections(texts, limit=4000).orderBy("rec_id").collect()] == [(1, True, 1000), (2, True, 0)]
+    marks = spark.createDataFrame([("a", i, i, i * 10000, "arabic") for i in range(1, 302)], "g string, pre int, major long, ordinal long, kind string")
+    assert rows(S.plausible_sequences(marks, ["g"]), "markers", "plausible", "bounded") == [(301, True, False)]
+    assert rows(S.plausible_sequences(marks, ["g"], max_markers=200), "markers", "plausible", "bounded") == [(301, False, True)]
+
+
+def test_many_tags_and_classes_count_in_the_score(spark):
+    late = "<b>" * 500 + "".join(f"<i{k} class='c{k} twice'>" for k in range(30))
+    df = spark.createDataFrame([(late,)], "html string").select(D.record_score("html").alias("whole"), D.record_score("html", 400).alias("cut"))
+    row = df.first()
+    assert row.whole == 12 + 20 + len(late) // 512 + 1 and row.cut < row.whole
