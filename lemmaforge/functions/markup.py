@@ -6,6 +6,7 @@ import itertools
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,3 +239,16 @@ def node_structs(html: pa.Array) -> pa.Array:
     }
     structs = pa.StructArray.from_arrays(list(columns.values()), list(columns))
     return pa.ListArray.from_arrays(offsets([len(r) for r in records]), structs)
+
+
+class NodeRows:
+    """Nodes of one text as rows, for SQL."""
+
+    def eval(self, html: str):
+        for node in read_nodes(html):
+            yield tuple(node[f.name] for f in NODE.fields)
+
+
+def register_html_nodes(spark: SparkSession, name: str = "html_nodes") -> None:
+    """Makes `html_nodes(text)` a table function of SQL, to be joined by LATERAL; null gives the nodes of no text."""
+    spark.udtf.register(name, F.udtf(NodeRows, returnType=NODE))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lemmaforge.functions import keys as K
 from lemmaforge.functions import text as T
 from lemmaforge.functions import vocab as V
-from lemmaforge.functions.markup import TEXT
+from lemmaforge.functions.markup import TEXT, register_html_nodes
 from lemmaforge.operators import diagnose as D
 from lemmaforge.operators import nodes as N
 from lemmaforge.operators import ranking
@@ -56,12 +56,24 @@ def text_sql(expr: str) -> str:
     return rf"trim(regexp_replace({plain_sql(gapped)}, '[\s\x{{a0}}\x{{200b}}\x{{feff}}]+', ' ', 'g'))"
 
 
-@query(
-    "d01_node_tags",
-    f"""WITH b AS (SELECT page_id, {HOST} AS dict_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+NODE_TAGS = f"""WITH b AS (SELECT page_id, {HOST} AS dict_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 t AS (SELECT dict_id, page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM b)
-SELECT dict_id, tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM t GROUP BY ALL""",
-)
+SELECT dict_id, tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM t GROUP BY ALL"""
+
+
+@query("u02_html_nodes_in_sql", NODE_TAGS)
+def html_nodes_in_sql(spark, sf_dir):
+    """The same counts, with the node table called in SQL."""
+    register_html_nodes(spark)
+    pages = page_records(spark, sf_dir)
+    return spark.sql(
+        """SELECT dict_id, tag, count(*) AS n, count(DISTINCT rec_id) AS pages
+           FROM {pages} p, LATERAL html_nodes(p.content) WHERE tag <> '#text' GROUP BY dict_id, tag""",
+        pages=pages,
+    )
+
+
+@query("d01_node_tags", NODE_TAGS)
 def node_tags(spark, sf_dir):
     nodes = page_nodes(spark, sf_dir, False).filter(F.col("tag") != TEXT)
     per_page = nodes.groupBy("dict_id", "rec_id", "tag").agg(F.count(F.lit(1)).alias("n"))

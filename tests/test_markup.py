@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lemmaforge.functions.markup import register_html_nodes
 from lemmaforge.operators import nodes as N
 from lemmaforge.operators import render as R
 from lemmaforge.operators import style as S
@@ -121,3 +122,11 @@ def test_visibility_and_generated_text(spark):
     assert [t.strip() for (t,) in rows(S.generated_text(nodes, won), "text")] == ["•"]
     gone = S.display_hidden(nodes, S.cascade(nodes, S.css_rules(spark.createDataFrame([("d", 0, ".h{display:none}")], "dict_id string, sheet_ord int, css string"))))
     assert N.visible_text(gone).first()["text"] == "tie t i"
+
+
+def test_nodes_are_a_table_function_of_sql(spark):
+    register_html_nodes(spark)
+    df = spark.createDataFrame([(1, '<div id="a" class="x y">t<br><img src=s></div>'), (2, ""), (3, None)], "rec_id long, content string")
+    names = ["rec_id", "pre", "end", "depth", "parent", "sib", "tag", "id", "classes", "attrs", "text"]
+    got = spark.sql("SELECT p.rec_id, n.* FROM {p} p, LATERAL html_nodes(p.content) n", p=df)
+    assert rows(got, *names) == rows(N.html_nodes(df), *names) and got.count() > 6
