@@ -128,7 +128,13 @@ def sibling_runs(spark, sf_dir):
     return E.sibling_runs(elements, E.sense_nodes(elements), E.entry_scripts(nodes))
 
 
-@query("e22_marker_blocks")
+@query(
+    "e22_marker_blocks",
+    f"""WITH {LINES}, p AS (SELECT doc_id AS rec_id, {FLAT} AS own, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f1),
+c AS (SELECT rec_id, k, length(k || '. ' || own) AS size FROM p WHERE length(own) >= 3),
+g AS (SELECT rec_id, list_sort(list(size))[count(*) // 2 + 1] AS middle, min(k) AS first, count(*) AS n FROM c GROUP BY rec_id)
+SELECT rec_id, k::VARCHAR AS marker, k * 10000 AS ordinal, 'arabic' AS kind FROM c JOIN g USING (rec_id) WHERE n >= 2 AND first <= 3 AND middle <= 1500""",
+)
 def marker_blocks(spark, sf_dir):
     """Lines of each document numbered in a list of paragraphs."""
     pages = with_fields(documents(spark, sf_dir)).select(
@@ -142,7 +148,7 @@ def marker_blocks(spark, sf_dir):
         ).alias("content"),
     )
     nodes = N.html_nodes(pages)
-    return E.marker_blocks(nodes, E.annotated(nodes)).select("rec_id", "pre", "marker", "ordinal", "kind")
+    return E.marker_blocks(nodes, E.annotated(nodes)).select("rec_id", "marker", "ordinal", "kind")
 
 
 @query(
