@@ -256,14 +256,14 @@ def own_pos_parts(spark, sf_dir):
 @query(
     "e25_oversize",
     f"""WITH {LINES}, m AS (SELECT doc_id, list_sort(list(length(t)))[count(*) // 2 + 1] AS med FROM f1 GROUP BY doc_id)
-SELECT f1.doc_id AS rec_id, i AS pre, length(t)::BIGINT AS size FROM f1 JOIN m USING (doc_id) WHERE length(t) > 3000 AND length(t) > 10 * med""",
+SELECT f1.doc_id AS rec_id, i AS pre, length(t)::BIGINT AS size FROM f1 JOIN m USING (doc_id) WHERE length(t) > 300 AND length(t) > 1.5 * med""",
 )
 def oversize(spark, sf_dir):
     lines = F.transform(
         F.split("text", "\n"), lambda l, i: F.struct(i.cast("bigint").alias("pre"), F.length(F.regexp_replace(l, r"^\s+|\s+$", "")).cast("bigint").alias("size"))
     )
     pieces = documents(spark, sf_dir).select(F.col("doc_id").alias("rec_id"), F.inline(F.filter(lines, lambda x: x["size"] > 0)))
-    return E.demote_oversize(pieces, "size")[1].select("rec_id", "pre", "size")
+    return E.demote_oversize(pieces, "size", 300, 1.5)[1].select("rec_id", "pre", "size")
 
 
 @query(
