@@ -1,8 +1,9 @@
 """Nodes, selectors, texts, blocks, page Markdown, cascade."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lemmaforge.functions.markup import register_html_nodes
+from lemmaforge.functions.markup import SLICE, register_html_nodes, slices
 from lemmaforge.operators import nodes as N
 from lemmaforge.operators import render as R
 from lemmaforge.operators import style as S
@@ -130,3 +131,12 @@ def test_nodes_are_a_table_function_of_sql(spark):
     names = ["rec_id", "pre", "end", "depth", "parent", "sib", "tag", "id", "classes", "attrs", "text"]
     got = spark.sql("SELECT p.rec_id, n.* FROM {p} p, LATERAL html_nodes(p.content) n", p=df)
     assert rows(got, *names) == rows(N.html_nodes(df), *names) and got.count() > 6
+
+
+def test_a_batch_is_read_in_slices(spark):
+    texts = ["<p>" + "x" * (SLICE // 3) + f"</p><b>{i}</b>" for i in range(10)] + [None, ""]
+    assert [len(s) for s in slices(pa.array(texts))] == [3, 3, 3, 3]
+    nodes = nodes_of(spark, *texts)
+    got = nodes.filter("tag = 'b'").join(nodes.filter("tag = '#text'").select("rec_id", F.col("parent").alias("pre"), F.col("text").alias("said")), ["rec_id", "pre"])
+    assert rows(got, "rec_id", "said") == sorted([(i + 1, str(i)) for i in range(10)], key=repr)
+    assert nodes.select("rec_id").distinct().count() == 12
