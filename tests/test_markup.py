@@ -140,3 +140,10 @@ def test_a_batch_is_read_in_slices(spark):
     got = nodes.filter("tag = 'b'").join(nodes.filter("tag = '#text'").select("rec_id", F.col("parent").alias("pre"), F.col("text").alias("said")), ["rec_id", "pre"])
     assert rows(got, "rec_id", "said") == sorted([(i + 1, str(i)) for i in range(10)], key=repr)
     assert nodes.select("rec_id").distinct().count() == 12
+
+
+def test_sides_as_large_as_the_nodes_are_not_broadcast(spark):
+    nodes = nodes_of(spark, "<table><tr><th>a<th>b<tr><td>1<td>2</table><ul><li><a>x</a></ul>").unpersist()
+    shown = [N.tables(nodes), N.link_only(nodes, nodes.filter("tag = 'li'")), N.with_texts(nodes, nodes.filter("tag = 'td'"))]
+    for df in shown:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
