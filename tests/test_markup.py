@@ -7,6 +7,7 @@ from lemmaforge.functions.markup import SLICE, register_html_nodes, slices
 from lemmaforge.operators import nodes as N
 from lemmaforge.operators import render as R
 from lemmaforge.operators import style as S
+from lemmaforge.plans import page_queries as P
 from tests.conftest import rows
 
 
@@ -147,3 +148,14 @@ def test_sides_as_large_as_the_nodes_are_not_broadcast(spark):
     shown = [N.tables(nodes), N.link_only(nodes, nodes.filter("tag = 'li'")), N.with_texts(nodes, nodes.filter("tag = 'td'"))]
     for df in shown:
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_texts_keep_references_without_semicolon(spark, tmp_path):
+    html = '<nav>n</nav><article><h1>a&amp;&amp</h1><p>b &copy;1&copy <a href="/x?y=1&z=2">c</a></p></article><div class="ad">d&amp, e</div>'
+    spark.createDataFrame([(1, "http://h.org/a", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    asked = lambda query, *names: rows(query(spark, str(tmp_path)), *names)
+    assert asked(P.visible_text, "text") == [("n a&&amp b ©1&copy c d&amp, e",)]
+    assert asked(P.remove_subtrees, "text") == [("a&&amp b ©1&copy c",)]
+    assert asked(P.fallback_section, "body") == [("n a&&amp b ©1&copy c d&amp, e",)]
+    assert asked(P.headword, "headword") == [("a&&amp",)]
+    assert asked(P.listed_items, "ord", "value") == [(1, "d&amp"), (2, "e")]
