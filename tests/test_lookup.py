@@ -1,5 +1,7 @@
 """Lookup rules: tiers, duplicates, redirects, dedupe, prefixes, resources, ranges."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -126,3 +128,30 @@ def test_selectors_and_links(spark):
     assert {r.v: (r.b, r.o) for r in df.collect()} == cases
     links = spark.createDataFrame([("@@@LINK=Tarn!\r\n\x00",), ("@@LINK=x",), ("@@@LINK= \x00",), ("plain",)], "c string")
     assert [r[0] for r in links.select(K.link_target("c")).collect()] == ["Tarn!", "x", None, None]
+
+
+def test_first_paths_against_all_paths(spark):
+    """Dense redirects, spellings that bar each other, fewer hops than keys."""
+    draw = random.Random(7)
+    keys = ["a", "b", "c", "d", "e", " e", "b "]
+    data = [
+        (f"d{d}", draw.choice(keys), i, f"@@@LINK={draw.choice(keys)}" if draw.random() < 0.6 else f"text {draw.randrange(6)}")
+        for d in range(60)
+        for i in range(22)
+    ]
+    recs = spark.createDataFrame(data, "dict_id string, key string, source_ord long, content string")
+    index, numbered = L.key_index(recs), L.numbered_records(recs)
+    roots, edges = index.select("dict_id", "key"), L.redirect_edges(numbered, index)
+    for hops in (2, 3, 8):
+        every = L.redirect_closure(roots, edges, hops).groupBy("dict_id", "root", "node").agg(F.min("path").alias("path"))
+        got = L.first_paths(roots, edges, hops)
+        assert rows(got, "dict_id", "root", "node", "path") == rows(every, "dict_id", "root", "node", "path"), hops
+    plain = L.dedupe_content(L.resolved_records(roots, numbered, edges))
+    assert rows(L.first_records(roots, numbered, edges), *sorted(plain.columns)) == rows(plain, *sorted(plain.columns))
+
+
+def test_first_paths_do_not_multiply(spark):
+    """Thirty keys that all redirect to each other: eight hops over all paths would be 30 ** 8 rows a key."""
+    data = [(f"k{a}", f"@@@LINK=k{b}") for a in range(30) for b in range(30)] + [(f"k{a}", f"text {a}") for a in range(30)]
+    got = L.lookup(asked(spark, "k0", "k7"), records(spark, *data))
+    assert got.groupBy("query").count().collect() and got.count() == 60
