@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lemmaforge.streaming import navigation as Nav
@@ -74,3 +75,12 @@ def test_endless_sessions_are_walked_in_stretches(spark):
     steps = spark.createDataFrame(rows, "user_id long, ts timestamp, step_id long, from_page string, to_page string, back boolean")
     got = Nav.stack_batch(steps.repartition(5))
     assert sorted((r.step_id, r.length, r.previous) for r in got.collect()) == want
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    table = spark.range(30).withColumn("v", F.col("id") * 2)
+    table.repartition(3).write.parquet(f"{tmp_path}/in/t.parquet")
+    table.repartition(2).write.parquet(f"{tmp_path}/in/other.parquet")
+    source = Nav.read_stream(spark, f"{tmp_path}/in", "t.parquet", table.schema)
+    got = Nav.drain(source, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert rows(got, "id", "v") == rows(table, "id", "v")
