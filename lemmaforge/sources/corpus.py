@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lemmaforge.functions import text as Txt
 from lemmaforge.functions.keys import col
+from lemmaforge.session import cut_lineage
 
 SAMPLE_BYTES = 64 << 10
 
@@ -144,8 +145,11 @@ def read_record_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def write_baseline(snapshots: DataFrame, path: str) -> None:
-    """Snapshots sorted by identity, across files as well."""
-    snapshots.repartitionByRange("dict_id", "key").sortWithinPartitions("dict_id", "key").write.mode(
+    """Snapshots sorted by identity, across files as well.
+
+    They are worked out once and written before: finding the ranges reads them a second time.
+    """
+    cut_lineage(snapshots).repartitionByRange("dict_id", "key").sortWithinPartitions("dict_id", "key").write.mode(
         "overwrite"
     ).parquet(path)
 

@@ -163,3 +163,19 @@ def test_partitions_grow_with_the_texts(spark):
     few = M.placed_by_record(docs.limit(2), letters="n")
     assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert M.placed_by_record(docs.limit(0), letters="n").count() == 0
+
+
+def test_baseline_is_worked_out_once(spark, tmp_path):
+    """Finding the ranges of the sorted files does not run the plan of the snapshots again."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(key):
+        runs.add(1)
+        return key
+
+    snaps = spark.range(0, 200, 1, 4).select(
+        F.lit("d").alias("dict_id"), F.udf(counted, "string")(F.col("id").cast("string")).alias("key")
+    )
+    C.write_baseline(snaps, str(tmp_path / "base"))
+    assert runs.value == 200
+    assert C.read_baseline(spark, str(tmp_path / "base")).count() == 200
