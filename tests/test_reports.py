@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from lemmaforge.functions import text as T
 from lemmaforge.operators import diagnose as D
 from lemmaforge.operators import metrics as M
 from lemmaforge.operators import render as R
@@ -179,3 +180,10 @@ def test_baseline_is_worked_out_once(spark, tmp_path):
     C.write_baseline(snaps, str(tmp_path / "base"))
     assert runs.value == 200
     assert C.read_baseline(spark, str(tmp_path / "base")).count() == 200
+
+
+def test_clauses_of_texts_without_cjk(spark):
+    """Such texts are not split; a missing text stays missing."""
+    texts = spark.createDataFrame([(0, "plain, words. é"), (1, "中文字国, word; かな。ab"), (2, None), (3, "")], "i int, t string")
+    chinese, cjk = T.clause_counts("t")
+    assert rows(texts.select("i", chinese.alias("a"), cjk.alias("b")), "i", "a", "b") == [(0, 0, 0), (1, 1, 2), (2, None, None), (3, 0, 0)]
