@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lemmaforge.operators import entries as X
 from lemmaforge.operators import nodes as N
 from lemmaforge.operators import senses as E
 from tests.conftest import rows
@@ -58,3 +59,41 @@ def test_sibling_runs_move_only_the_texts_they_keep(spark):
     moved = [line for line in plan_of(runs).splitlines() if "Exchange" in line]
     assert not any("own" in line for line in moved)
     assert "_asked" in plan_of(runs)
+
+
+def test_texts_under_elements_are_not_repeated_on_the_way(spark):
+    nodes, text = deep(spark)
+    wanted = nodes.filter("tag = 'div'")
+    got = N.with_texts(nodes, wanted, "t")
+    assert got.filter(F.col("t") == text).count() == 40
+    assert rows(N.with_texts(nodes, wanted.unionByName(wanted), "t").groupBy("pre").count().select("count").distinct(), "count") == [(2,)]
+    assert "listagg" not in plan_of(got)  # a copy of each text for every element above it went into that
+
+
+def test_empty_and_silent_elements_have_no_text(spark):
+    nodes = N.html_nodes(spark.createDataFrame([(1, "<p></p><script>x</script><p> a <b>b</b>c<br>d</p>"), (2, None)], "rec_id long, content string"))
+    got = N.with_texts(nodes, nodes.filter("tag != '#text'"), "t")
+    assert rows(got.filter("tag in ('p', 'script', 'b')"), "tag", "t") == [("b", "b"), ("p", ""), ("p", "a b c d"), ("script", "")]
+    assert rows(N.element_texts(nodes, nodes.filter("tag in ('p', 'b')"), "t"), "t") == [("a b c d",), ("b",)]
+
+
+def test_records_without_profile_read_no_text_for_it(spark):
+    nodes = N.html_nodes(spark.createDataFrame([(1, "<p>a</p>")], "rec_id long, content string"))
+    marks = spark.createDataFrame([], "rec_id long, pre int, end int, field string")
+    got = E.marked_senses(nodes, marks, nodes.select("rec_id"))
+    assert got.count() == 0 and "ArrowEvalPython" not in plan_of(got)
+
+
+def test_headings_are_worked_out_once(spark):
+    nodes = N.html_nodes(spark.createDataFrame([(1, "<h3>Usage</h3><p>old word</p>" + "<p>" + "long text " * 20 + "</p>")], "rec_id long, content string"))
+    left = E.annotated(nodes)
+    keys = spark.createDataFrame([(1, "tarn")], "rec_id long, key string")
+    terms, phrases, sections, taken = X.heading_terms(left, keys)
+    assert rows(sections, "kind", "title") == [("usageNote", "Usage")] and taken.count() == 3
+    assert "Window" not in plan_of(taken) and "_elements" not in plan_of(sections)
+
+
+def test_nothing_is_written_anew_without_claims(spark):
+    nodes = N.html_nodes(spark.createDataFrame([(1, "<p>a</p>")], "rec_id long, content string"))
+    assert X.taken_out(nodes, nodes.filter("tag = 'table'").select("rec_id", "pre")) is nodes
+    assert rows(X.taken_out(nodes, nodes.filter("tag = 'p'").select("rec_id", "pre")), "tag") == [("body",), ("head",), ("html",)]
