@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lemmaforge.operators import entries as X
 from lemmaforge.operators import nodes as N
 from lemmaforge.operators import senses as E
+from lemmaforge.operators.intervals import nearest_above, stack_join
 from tests.conftest import rows
 
 
@@ -97,3 +98,22 @@ def test_nothing_is_written_anew_without_claims(spark):
     nodes = N.html_nodes(spark.createDataFrame([(1, "<p>a</p>")], "rec_id long, content string"))
     assert X.taken_out(nodes, nodes.filter("tag = 'table'").select("rec_id", "pre")) is nodes
     assert rows(X.taken_out(nodes, nodes.filter("tag = 'p'").select("rec_id", "pre")), "tag") == [("body",), ("head",), ("html",)]
+
+
+def test_tables_read_the_markup_once(spark):
+    html = "<table><tr><th>a<th>b<tr><td>1 <i>x</i><td><table><tr><td>in</table><tr><td>2</table><td>lost<table><caption>c</caption></table><tr><td>none"
+    nodes = N.html_nodes(spark.createDataFrame([(1, html), (2, "<p>no"), (3, None)], "rec_id long, content string"))
+    got = N.tables(nodes)
+    assert plan_of(got).count("ArrowEvalPython") == 1
+    want = N.table_rows(nodes, nodes.filter("tag = 'table'"))
+    same = ["rec_id", "table_pre", "row_pre", "is_header", "cells"]
+    assert rows(got, *same) == rows(want, *same) and got.count() == 4
+
+
+def test_nearest_above_is_the_stack_join(spark):
+    html = "<ul><li>a<ul><li>b<li>c</ul><li>d</ul><li>e<div><ul></ul><li><li></div>"
+    nodes = N.html_nodes(spark.createDataFrame([(1, html), (2, html * 2)], "rec_id long, content string"))
+    for tag in ("ul", "li", "html", "table"):
+        got = nearest_above(nodes, F.col("tag") == tag, "up").filter("up is not null")
+        assert rows(got, "rec_id", "pre", "tag", "up") == rows(stack_join(nodes, nodes.filter(F.col("tag") == tag), "up"), "rec_id", "pre", "tag", "up")
+    assert nearest_above(nodes, F.col("tag") == "ul", "up").count() == nodes.count()
