@@ -117,3 +117,16 @@ def test_nearest_above_is_the_stack_join(spark):
         got = nearest_above(nodes, F.col("tag") == tag, "up").filter("up is not null")
         assert rows(got, "rec_id", "pre", "tag", "up") == rows(stack_join(nodes, nodes.filter(F.col("tag") == tag), "up"), "rec_id", "pre", "tag", "up")
     assert nearest_above(nodes, F.col("tag") == "ul", "up").count() == nodes.count()
+
+
+def test_marked_blocks_move_no_texts(spark):
+    lines = "".join(f'<p class="n">{i}. a meaning of {i}</p>' for i in range(1, 6))
+    html = lines + "<div><b>1</b> not <i>it</i></div><ul><li><b>7</b> x</li></ul>"
+    nodes = N.html_nodes(spark.createDataFrame([(1, html)], "rec_id long, content string"))
+    elements = E.annotated(nodes)
+    candidates = E.marker_candidates(elements)
+    assert "own" not in candidates.columns and "text" not in candidates.columns
+    assert rows(candidates.filter("marker_pre is not null"), "tag", "marker", "size") == [("div", "1", 8)]
+    blocks = E.marker_blocks(nodes, elements, candidates)
+    assert rows(blocks, "marker", "size") == [(str(i), 17) for i in range(1, 6)] and "ArrowEvalPython" not in plan_of(blocks)
+    assert rows(E.with_own(elements, blocks), "own") == [(f"{i}. a meaning of {i}",) for i in range(1, 6)]
