@@ -130,3 +130,10 @@ def test_marked_blocks_move_no_texts(spark):
     blocks = E.marker_blocks(nodes, elements, candidates)
     assert rows(blocks, "marker", "size") == [(str(i), 17) for i in range(1, 6)] and "ArrowEvalPython" not in plan_of(blocks)
     assert rows(E.with_own(elements, blocks), "own") == [(f"{i}. a meaning of {i}",) for i in range(1, 6)]
+
+
+def test_profiles_read_the_markup_once(spark):
+    nodes = N.html_nodes(spark.createDataFrame([(1, "<div class='s'><b>1</b><i>a meaning</i></div>")], "rec_id long, content string"), placed=False)
+    got = E.profile_senses(nodes, {"sense": ".s", "definition": "i", "number": "b"})
+    assert rows(got, "number", "definition") == [("1", "a meaning")]
+    assert "ArrowEvalPython" not in plan_of(got)
