@@ -137,3 +137,12 @@ def test_profiles_read_the_markup_once(spark):
     got = E.profile_senses(nodes, {"sense": ".s", "definition": "i", "number": "b"})
     assert rows(got, "number", "definition") == [("1", "a meaning")]
     assert "ArrowEvalPython" not in plan_of(got)
+
+
+def test_blanks_of_all_kinds_become_single(spark):
+    html = "<div> a \t\n<b>  </b><i>​</i> <u>　b  c </u>﻿<p>\n d\re </p></div><p> </p><p> f</p>"
+    nodes = N.html_nodes(spark.createDataFrame([(1, html), (2, html * 3)], "rec_id long, content string"))
+    elements = nodes.filter("tag != '#text'")
+    assert rows(E.annotated(nodes), "rec_id", "pre", "own") == rows(N.with_texts(nodes, elements, "own"), "rec_id", "pre", "own")
+    stored = E.text_records(nodes).select(F.explode("_pieces.piece").alias("p"))
+    assert stored.filter(F.col("p").rlike(r"  |[^ -~]")).count() == 0
